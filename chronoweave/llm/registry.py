@@ -1,9 +1,11 @@
 """The ten operators' queries and the SQL for those that SQL can express."""
 
-from . import packing, token_binary
+from . import decontaminate, packing, simhash, token_binary
 
 QUERIES = {
     "op1_token_files": token_binary.op1_token_files,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op9_packing": packing.op9_packing,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict[str, str] = {}
