@@ -1,10 +1,13 @@
 """The ten operators' queries and the SQL for those that SQL can express."""
 
-from . import decontaminate, packing, simhash, token_binary
+from . import decontaminate, packing, pii, quality_rules, secrets, simhash, token_binary
 
 QUERIES = {
     "op1_token_files": token_binary.op1_token_files,
+    "op2_pii": pii.op2_pii,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_secrets": secrets.op5_secrets,
     "op9_packing": packing.op9_packing,
     "op10_simhash": simhash.op10_simhash,
 }
