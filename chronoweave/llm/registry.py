@@ -1,6 +1,6 @@
 """The ten operators' queries and the SQL for those that SQL can express."""
 
-from . import decontaminate, html_text, packing, pii, quality_model, quality_rules, secrets, simhash, token_binary
+from . import decontaminate, html_text, packing, pii, quality_model, quality_rules, secrets, simhash, substrings, token_binary
 
 QUERIES = {
     "op1_token_files": token_binary.op1_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_secrets": secrets.op5_secrets,
     "op6_html_text": html_text.op6_html_text,
     "op7_quality_model": quality_model.op7_quality_model,
+    "op8_substrings": substrings.op8_substrings,
     "op9_packing": packing.op9_packing,
     "op10_simhash": simhash.op10_simhash,
 }
