@@ -1,4 +1,9 @@
 """Every query by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+from . import source_queries
+
+QUERIES.update(source_queries.QUERIES)
+ORACLES.update(source_queries.ORACLES)
+
+__all__ = ["ORACLES", "QUERIES"]
