@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .asof import to_periods
 from .graph import ordered_pair
-from .intervals import clip, overlap_join
+from .intervals import overlap_join
 
 HOME = "home"
 
@@ -59,5 +59,3 @@ def others(periods: DataFrame, dominant: DataFrame) -> DataFrame:
     rest = seen.join(dominant.select("entity", F.col("dominant_id").alias("place")), ["entity", "place"], "left_anti")
     return rest.groupBy("entity").agg(F.sort_array(F.collect_set("place")).alias("other_ids"))
 
-
-__all__ = ["all_periods", "anchor_periods", "clip", "co_occurrences", "of_office", "office_subnets", "others", "subnet_periods"]

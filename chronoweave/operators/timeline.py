@@ -7,11 +7,11 @@ to an end of its own. Rewriting earlier rows is then dropping or relabelling mar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MIN_PERIOD, SOFT_CLOSE
-from ..functions.times import day_start, effective_day, next_day
+from ..functions.times import day_start, effective_day
 from .asof import asof, keep_first
 
 ACTIVE, BREAK, TRANSIT = "active", "break", "transit"
@@ -137,14 +137,19 @@ def initial_state(days: DataFrame, backlight: DataFrame, screen: DataFrame, inpu
 
     ``wifi`` has (entity, time_ms, network, seq), network null where the address was lost; the last that was known counts.
     """
-    out = days.select("entity", "day", day_start(F.col("day")).alias("start_ms"))
-    kw = {"on": "start_ms", "strict": True}
-    out = asof(out, backlight.select("entity", "time_ms", "active", "seq"), name="b", **kw)
-    out = asof(out, screen.select("entity", "time_ms", "kind", "seq"), name="s", **kw)
-    out = asof(out, wifi.where("network is not null").select("entity", "time_ms", "network", "seq"), name="w", **kw)
+    none = {"day": "date", "lit": "boolean", "kind": "string", "network": "string", "input_ms": "long"}
+
+    def rows(df: DataFrame, at: str, side: int, **given) -> DataFrame:
+        return df.select("entity", F.col(at).alias("at"), F.lit(side).alias("side"), *[(F.col(given[c]) if c in given else F.lit(None).cast(t)).alias(c) for c, t in none.items()], F.col("seq").alias("seq"))
+
+    # All five streams and the days in one sort: at one moment a day's start comes first, so only earlier events count.
+    every = rows(days.select("entity", "day", day_start(F.col("day")).alias("start_ms"), F.lit(0).cast("long").alias("seq")), "start_ms", 0, day="day")
     last = inputs.select("entity", "time_ms", "seq").unionByName(focus.select("entity", "time_ms", "seq"))
-    out = asof(out, last, name="i", **kw)
-    return out.select("entity", "day", "start_ms", F.coalesce("b.active", F.lit(False)).alias("lit"), F.coalesce(F.col("s.kind") == "lock", F.lit(False)).alias("locked"), F.col("w.network").alias("network"), F.nullif(F.col("i.time_ms"), F.lit(0)).alias("last_input"))
+    for df, given in ((backlight, {"lit": "active"}), (screen, {"kind": "kind"}), (wifi.where("network is not null"), {"network": "network"}), (last, {"input_ms": "time_ms"})):
+        every = every.unionByName(rows(df, "time_ms", 1, **given))
+    w = Window.partitionBy("entity").orderBy("at", "side", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = every.select("entity", "day", F.col("at").alias("start_ms"), *[F.last(c, ignorenulls=True).over(w).alias(c) for c in none if c != "day"]).where("day is not null")
+    return known.select("entity", "day", "start_ms", F.coalesce("lit", F.lit(False)).alias("lit"), F.coalesce(F.col("kind") == "lock", F.lit(False)).alias("locked"), "network", F.nullif(F.col("input_ms"), F.lit(0)).alias("last_input"))
 
 
 def with_network(wifi: DataFrame, groups: DataFrame) -> DataFrame:
@@ -195,5 +200,3 @@ def days_between(streams: list[DataFrame]) -> DataFrame:
 def lit_days(backlight: DataFrame) -> DataFrame:
     return backlight.select("entity", effective_day(F.col("time_ms")).alias("day")).distinct()
 
-
-__all__ = ["Day", "days_between", "fallback", "initial_state", "lit_days", "merge_focus", "next_day", "timeline", "with_network"]
