@@ -1,6 +1,6 @@
 """The ten operators' queries and the SQL for those that SQL can express."""
 
-from . import decontaminate, html_text, packing, pii, quality_model, quality_rules, secrets, simhash, substrings, token_binary
+from . import decontaminate, html_text, oracles, packing, pii, quality_model, quality_rules, secrets, simhash, substrings, token_binary
 
 QUERIES = {
     "op1_token_files": token_binary.op1_token_files,
@@ -14,4 +14,4 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": oracles.QUALITY_RULES, "op4_decontaminate": oracles.DECONTAMINATE}

@@ -340,3 +340,21 @@ def test_rows_that_share_ids_and_null_ids(spark, tmp_path):
         if name not in ("op6_html_text", "op9_packing"):
             assert query(spark, str(tmp_path)).count() == len(TEXTS) + 8, name
     assert registry.QUERIES["op9_packing"](spark, str(tmp_path)).select("doc_id").distinct().count() == len(TEXTS) + 1
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    import os
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    ours, theirs = registry.QUERIES[name](spark, sf).toPandas(), db.sql(registry.ORACLES[name]).df()
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    assert sorted(map(str, ours[columns].values.tolist())) == sorted(map(str, theirs[columns].values.tolist()))
