@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\\s/>]*)([^>]*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -34,23 +34,49 @@ ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "t
 BOUND = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "body", "html", "blockquote", "td", "th"}
 #: Elements that are never part of an article.
 NEVER = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "textarea", "button", "select", "option", "iframe", "menu", "dialog", "svg", "object", "input", "label", "fieldset", "noembed", "noframes"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note"}
-#: Whole words of class names and ids that mark what isn't the article.
-MARKS = re.compile(
-    r"(?:^|[-_\s]|(?<=[a-z])(?=[A-Z]))(ads?|adverts?|advertisements?|advertising|adsense|adslot|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login|"
-    r"comments?|disqus|replies|respond|discussion|sidebars?|side|rail|aside|widgets?|related|recommend(?:ed|ations?)?|trending|popular|share|sharing|social|follow|breadcrumbs?|pagination|pager|paging|nav|navbar|navigation|menus?|footers?|masthead|topbar|toolbar|site-?header|page-?header|"
-    r"tags?|tag-?list|byline|skip-?link|search|legal|copyright|disclaimer|teasers?|outbrain|taboola|hidden)(?=$|[-_\s]|[A-Z])",
-    re.IGNORECASE,
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+#: Words of class names and ids that mark what isn't the article: fixed values.
+MARKS = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices notification notifications "
+    "alert alerts popup popups modal modals overlay overlays newsletter newsletters subscribe subscription signup login comment comments disqus reply replies respond discussion sidebar sidebars side rail aside widget widgets related "
+    "recommend recommended recommendation recommendations trending popular share sharing social follow breadcrumb breadcrumbs pagination pager paging nav navbar navigation menu menus footer masthead topbar toolbar byline "
+    "search copyright disclaimer teaser teasers outbrain taboola hidden".split()
 )
+#: Of these, what marks an article or main element, too.
+OWN_MARKS = set("ad advert advertisement sponsored promo comment comments reply replies related recommended teaser teasers".split())
+#: Names like these say something of an element's state or of its neighbours.
+STATES = re.compile(r"(?:has|have|with|without|no|not|is|js|show|hide)-")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 PUNCTUATION = re.compile(r"[.,;:!?。，…]")
 SMOOTHING = np.array([0.25, 0.5, 0.25])
 
 
 class Node:
-    __slots__ = ("tag", "path", "never", "parent", "region", "place")
+    """An element: ``strict`` ones are never article text, ``marked`` ones are named like something else, unless an article lies within."""
 
-    def __init__(self, tag: str, path: str, never: bool, parent: Node | None, place: int):
-        self.tag, self.path, self.never, self.parent, self.place = tag, path, never, parent, place
+    __slots__ = ("tag", "path", "strict", "marked", "parent", "place")
+
+    def __init__(self, tag: str, path: str, strict: bool, marked: bool, parent: Node | None, place: int):
+        self.tag, self.path, self.strict, self.marked, self.parent, self.place = tag, path, strict, marked, parent, place
+
+    @property
+    def never(self) -> bool:
+        return any(n.strict or n.marked for n in _ancestors(self))
+
+
+def marks_of(names: str) -> set[str]:
+    """Marks in class names and ids; "header" among them where a whole name is a page's header."""
+    found = set()
+    for name in names.split():
+        name = CAMEL.sub("-", name).lower()
+        if STATES.match(name):
+            continue
+        words = re.split(r"[-_:]+", name)
+        found.update(MARKS.intersection(words))
+        if words[-1] == "header" and (len(words) == 1 or words[0] in ("site", "page", "main", "global", "top", "app")):
+            found.add("header")
+    return found
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -58,27 +84,32 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def _opened(tag: str, rest: str, parent: Node, place: int) -> Node:
-    name, never = tag, parent.never or tag in NEVER
+    name, strict, marked = tag, tag in NEVER, False
+    inside = any(up.tag in ("article", "main") for up in _ancestors(parent))
+    # A page's header isn't the article; an article's own header, with its title, is.
+    strict = strict or tag == "header" and not inside
     if rest and not rest.isspace():
         got = attributes(rest)
-        mark = f"{got.get('class', '')} {got.get('id', '')}".strip()
-        if mark:
-            name = f"{tag}.{'.'.join(mark.split())}"
-        if tag not in ("html", "body", "main", "article"):
-            never = never or bool(mark and MARKS.search(mark)) or got.get("role", "") in ROLES or "hidden" in got or got.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", got.get("style", "")))
-    if tag == "header" and not never:
-        # A page's header isn't the article; an article's own header, with its title, is.
-        up = parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        never = up is None
-    return Node(tag, f"{parent.path}/{name}", never, parent, place)
+        names = f"{got.get('class', '')} {got.get('id', '')}".strip()
+        if names:
+            name = f"{tag}.{'.'.join(names.split())}"
+        if tag not in ("html", "body"):
+            marks = marks_of(names)
+            if inside:
+                marks.discard("header")
+            marked = bool(marks & OWN_MARKS if tag in ("article", "main") else marks)
+            strict = strict or got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden") == "true" or bool(HIDDEN.search(got.get("style", "")))
+    if tag in ("article", "main") and not marked:
+        for up in _ancestors(parent):
+            if up.marked and up.tag not in ("article", "main") and not marks_of(up.path.rpartition("/")[2].replace(".", " ")) & OWN_MARKS:
+                up.marked = False  # a frame around the article, whatever else it frames
+    return Node(tag, f"{parent.path}/{name}", strict, marked, parent, place)
 
 
 def blocks_of(html: str) -> list[tuple[Node, str]]:
     """The page's blocks of text in order: the innermost element that parts blocks, and the text, its white space still as it was."""
-    root = Node("", "", False, None, 0)
-    stack, out, pieces, owner, place = [root], [], [], None, 0
+    root = Node("", "", False, False, None, 0)
+    stack, out, pieces, owner, place, breaks = [root], [], [], None, 0, 0
 
     def flush() -> None:
         nonlocal owner
@@ -93,8 +124,11 @@ def blocks_of(html: str) -> list[tuple[Node, str]]:
             return
         if owner is None:
             owner = next((n for n in reversed(stack) if n.tag in BLOCK), root)
-        if stack[-1].never and not owner.never:
-            return  # an inline element that is no article text
+        for n in reversed(stack):
+            if n.tag in BLOCK:
+                break
+            if n.strict or n.marked:
+                return  # an inline element that is no article text
         pieces.append(unescape(raw) if "&" in raw else raw)
 
     at, n = 0, len(html)
@@ -106,15 +140,18 @@ def blocks_of(html: str) -> list[tuple[Node, str]]:
             cut = re.search(r"<[/a-zA-Z][^<]*\Z", rest)
             text(rest[: cut.start()] if cut else rest)
             break
-        text(html[at : m.start()])
+        between = html[at : m.start()]
+        text(between)
+        if between and not between.isspace():
+            breaks = 0
         at = m.end()
-        tag = m[2]
+        closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag == "br" or tag == "p" and not any(x.tag == "p" for x in stack):
                 text(" ")
                 continue
@@ -144,23 +181,27 @@ def blocks_of(html: str) -> list[tuple[Node, str]]:
                     elif stack[k].tag in BOUND:
                         break
         elif tag == "br":
-            text(" ")
+            breaks += 1
+            if breaks > 1:
+                flush()  # an empty line parts blocks
+            else:
+                text(" ")
         if tag in VOID:
             continue
         place += 1
-        node = _opened(tag, m[3], stack[-1], place)
+        node = _opened(tag, rest, stack[-1], place)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
             continue
-        if not m[3].endswith("/") or tag in BLOCK:
+        if not rest.endswith("/") or tag in BLOCK:
             stack.append(node)
     flush()
     return out
 
 
 def ratios(blocks: list[tuple[Node, str]]) -> tuple[dict[str, float], float]:
-    """Fused score of each path, and the threshold: the mean over paths less nothing but what spread adds downwards."""
+    """Fused score of each path, and the threshold: the deviation of the scores."""
     order: dict[str, int] = {}
     sums = []
     for node, text in blocks:

@@ -218,6 +218,14 @@ PLAIN = """<body><div class="header-menu"><ul><li>a<li>b</ul></div><div class="c
 <p>More text here, and a little more of it, to be sure.</div><div class="sidebar">Links</div><div class="comments"><p>Nice post, really, I liked it a lot, you know!</p></div></div><form>Search</form></body>"""
 
 
+NESTED = """<body class=has-sidebar><div id="content-sidebar-wrap"><div class="heading shadow"><main><article class="post no-comments"><div class="post-header"><h1>T</h1></div><p title="a>b">One<br>two<br><br>three <span class=ad>buy</span>x</p>
+<a href=x'>link</a></article><article class="comment"><p>Me too, and much longer than the text is, I fear.</p></article></main></div><div class="sidebar"><p>no</p></div></div><div class="header">no</div></body>"""
+
+
+def test_html_names(spark):
+    assert html_text.main_text(NESTED) == "T\nOne two\nthree x\nlink"
+
+
 def test_html(spark):
     assert html_text.main_text(PAGE) == "A title\nFirst & last, with marks.\nSecond para.\nTi.\none\ntwo"
     assert html_text.main_text(PLAIN) == "Title here\nLong enough to be the article, with marks; yes.\nMore text here, and a little more of it, to be sure."
