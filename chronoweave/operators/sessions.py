@@ -97,11 +97,10 @@ def clip_to_days(periods: DataFrame, keys: DataFrame, now: int) -> DataFrame:
     """
     days = periods.select("*", F.explode(F.sequence(effective_day(F.col("first_ms")), F.greatest(effective_day(F.col("first_ms")), effective_day(F.col("last_ms"))))).alias("day"))
     cut = days.withColumn("day_ms", day_start(F.col("day"))).withColumn("end_ms", F.least("last_ms", F.least(day_start(next_day(F.col("day"))), F.lit(now)))).where("end_ms > day_ms")
-    early = cut.where("first_ms < day_ms")
-    k = keys.where("kind = 'kbd'").select("entity", effective_day(F.col("time_ms")).alias("day"), F.col("time_ms").alias("key_ms"))
-    woken = early.join(k, ["entity", "day"]).where("key_ms >= day_ms and key_ms < end_ms").groupBy("entity", "day", "first_ms", "end_ms").agg(F.min("key_ms").alias("start_ms"))
-    whole = cut.where("first_ms >= day_ms").select("entity", "day", F.col("first_ms").alias("start_ms"), "end_ms")
-    return whole.unionByName(woken.select("entity", "day", "start_ms", "end_ms")).where("end_ms > start_ms").select("entity", "day", F.col("start_ms").alias("first_ms"), F.col("end_ms").alias("last_ms"))
+    # The day's first key is the first of [06:00, end), if it comes before the end.
+    woken = keys.where("kind = 'kbd'").groupBy("entity", effective_day(F.col("time_ms")).alias("day")).agg(F.min("time_ms").alias("key_ms"))
+    start = F.when(F.col("first_ms") >= F.col("day_ms"), F.col("first_ms")).otherwise(F.col("key_ms"))
+    return cut.join(woken, ["entity", "day"], "left").withColumn("start_ms", start).where("end_ms > start_ms").select("entity", "day", F.col("start_ms").alias("first_ms"), F.col("end_ms").alias("last_ms"))
 
 
 def with_breaks(periods: DataFrame) -> DataFrame:

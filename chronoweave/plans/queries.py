@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import BUCKET_SLACK, DAY, HOUR, MERGE_GAP, MIN_PERIOD, MIN_SESSION, PROXIMITY, SOFT_CLOSE
 from ..functions import network, times
 from ..operators import asof, graph, intervals, location, sessions, timeline, upsert
+from ..tables import saved
 from . import report
 from . import streams as st
 
@@ -319,8 +320,13 @@ def q_clip(spark, d):
     return _clipped_anchors(spark, d).select("entity", "first_ms", "last_ms", "signal")
 
 
-def _co(spark, d, since=0):
-    return location.co_occurrences(_clipped_anchors(spark, d), _office_periods(spark, d), since)
+def _co(spark, d):
+    return location.co_occurrences(_clipped_anchors(spark, d), _office_periods(spark, d))
+
+
+def _kept_co(spark, d):
+    """Edges written once, as clusters and weights both read them: one row for each pair of signals of a device."""
+    return saved(_co(spark, d), "co")
 
 
 @query(
@@ -369,7 +375,7 @@ dominant AS (SELECT entity, id AS dominant_id, w FROM (SELECT *, row_number() OV
 )
 def q_dominant(spark, d):
     """A10, T3."""
-    co = _co(spark, d)
+    co = _kept_co(spark, d)
     return graph.dominant(co, graph.clusters(co, st.NOW), st.NOW).withColumn("weight", F.round("weight", 6))
 
 
@@ -381,7 +387,7 @@ def q_dominant(spark, d):
 )
 def q_others(spark, d):
     """A11, U2, U5, J11."""
-    co = _co(spark, d)
+    co = _kept_co(spark, d)
     found = graph.clusters(co, st.NOW)
     periods = location.all_periods(_clipped_anchors(spark, d), _office_periods(spark, d), found)
     return location.others(periods, graph.dominant(co, found, st.NOW)).withColumn("other_ids", F.array_join("other_ids", ","))
@@ -457,7 +463,7 @@ def q_fallback(spark, d):
 
 
 def _located(spark, d):
-    co = _co(spark, d)
+    co = _kept_co(spark, d)
     found = graph.clusters(co, st.NOW)
     periods = location.all_periods(_clipped_anchors(spark, d), _office_periods(spark, d), found)
     rows = timeline.fallback(_timeline(spark, d), _spare(spark, d), timeline.lit_days(st.backlight(spark, d)))
