@@ -12,7 +12,7 @@ from ..constants import BUCKET_SLACK, DAY, HOUR, MERGE_GAP, MIN_PERIOD, MIN_SESS
 from ..functions import network, times
 from ..operators import asof, graph, intervals, location, sessions, timeline, upsert
 from ..tables import saved
-from . import report
+from . import report, usecase
 from . import streams as st
 
 QUERIES: dict = {}
@@ -228,11 +228,6 @@ def q_ssid(spark, d):
     return _ssid(spark, d).select("entity", "time_ms", "subnet", "ssid", "session_first")
 
 
-def _pairs(spark, d):
-    points = _ssid(spark, d).where("subnet <> ''")
-    return intervals.session_pairs(points).unionByName(intervals.proximity_pairs(points)).distinct()
-
-
 @query(
     "session_pairs",
     "SELECT DISTINCT a.entity, a.subnet AS subnet_a, b.subnet AS subnet_b FROM known a JOIN known b ON a.entity = b.entity AND a.session_first = b.session_first AND a.session_last = b.session_last AND a.ssid = b.ssid AND a.subnet < b.subnet",
@@ -263,7 +258,7 @@ net_groups AS (SELECT entity, node AS subnet, min(root) AS group_id FROM reach G
 )
 def q_groups(spark, d):
     """A9, U4."""
-    return graph.subnet_groups(_pairs(spark, d), st.wifi(spark, d))
+    return usecase.network_groups(all_streams(spark, d))
 
 
 @query(
@@ -435,7 +430,7 @@ def q_state(spark, d):
 
 
 def _wifi(spark, d):
-    return timeline.with_network(st.wifi(spark, d), graph.subnet_groups(_pairs(spark, d), st.wifi(spark, d)))
+    return timeline.with_network(st.wifi(spark, d), usecase.network_groups(all_streams(spark, d)))
 
 
 def _timeline(spark, d):
@@ -462,12 +457,13 @@ def q_fallback(spark, d):
     return text_day(timeline.fallback(_timeline(spark, d), _spare(spark, d), timeline.lit_days(st.backlight(spark, d))))
 
 
+def all_streams(spark, d) -> usecase.Streams:
+    return usecase.Streams(*(f(spark, d) for f in (st.backlight, st.screen, st.inputs, st.focus_points, st.focus_periods, st.wifi, st.ssid_sessions, st.screen_on_buckets, st.anchors, st.places)))
+
+
 def _located(spark, d):
-    co = _kept_co(spark, d)
-    found = graph.clusters(co, st.NOW)
-    periods = location.all_periods(_clipped_anchors(spark, d), _office_periods(spark, d), found)
-    rows = timeline.fallback(_timeline(spark, d), _spare(spark, d), timeline.lit_days(st.backlight(spark, d)))
-    return intervals.locate(rows, periods), graph.dominant(co, found, st.NOW)
+    rows, places = usecase.intervals_for_days(all_streams(spark, d), timeline.days_between([st.events(spark, d)]), st.NOW, st.OFFICE, st.LOCK_APP)
+    return rows, places.dominant
 
 
 @query("timeline_day_report")

@@ -86,10 +86,10 @@ def read_frontmost(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy((F.col("ts") * 1000).cast("long").alias("time_ms")).agg(F.min_by(F.coalesce("bundle_id", F.lit("")), "n").alias("bundle_id"))
 
 
-def read_screen_on(spark: SparkSession, live: str) -> DataFrame:
-    """(time_ms, screen_on_secs) of the live file; archives have none."""
+def read_screen_on(spark: SparkSession, live: str, latest: bool = False) -> DataFrame:
+    """(time_ms, screen_on_secs) of the live file; archives have none. An hour's first row counts, or with ``latest`` its last."""
     rows = _read(spark, live, "n long, ts double, secs double", "SELECT rowid, timestamp, ScreenOn FROM PLDisplayAgent_Aggregate_ScreenOn WHERE timestamp IS NOT NULL")
-    return rows.groupBy((F.col("ts") * 1000).cast("long").alias("time_ms")).agg(F.min_by(F.col("secs").cast("long"), "n").alias("screen_on_secs"))
+    return rows.groupBy((F.col("ts") * 1000).cast("long").alias("time_ms")).agg((F.max_by if latest else F.min_by)(F.col("secs").cast("long"), "n").alias("screen_on_secs"))
 
 
 def read_usage(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
