@@ -24,7 +24,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")  # this job's shuffle files go as it ends
     try:
         df.write.parquet(path)
