@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,23 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Jobs within give back their shuffle files as they end: what they wrote is all that is read later."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def save(df: DataFrame, tag: str, partition_by: str | None = None, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder; returns what reads it, and its path. This cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with shuffles_freed(spark):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables made by save() that nothing reads any more, and let Spark free shuffle files of ended jobs."""
+    """Delete tables made by save() that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def width(df: DataFrame, factor: float = 1) -> int:

@@ -6,9 +6,11 @@ the position k further. Of each 100-byte window, only the position of least 32-b
 neighbouring windows that choose the same position form one block, so about one position in thirty-five is sorted.
 
 Rank one: positions are sorted by 32-byte name and by the name of their whole block. Positions whose 32-byte
-name is unique end there. A block seen before is repeated as a whole. Rank two: where blocks of one 32-byte
-name differ, their windows are named at 100 bytes, the threshold, and sorted again. Equal windows choose equal
-positions, so no repeat is missed. Names are pairs of 64-bit hashes.
+name is unique end there. A block seen before is repeated as a whole. Blocks of one 32-byte name that differ are
+compared by the next doubling: a window reaches 32 bytes beyond its position's string to the right, or to the
+left, so where neither 64-byte name comes twice its windows end, too. Rank two: the windows left are named at
+100 bytes, the threshold, and sorted again. Equal windows choose equal positions, so no repeat is missed.
+Names are pairs of 64-bit hashes; those at 64 bytes are short ones, as they only rule windows out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, save, table, width
+from .common import save, table, width
 
 LENGTH = 100
 SEED_LENGTH = 32
@@ -42,8 +44,8 @@ def double(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def names(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all strings of 32 bytes and of 100 bytes, by start."""
+def names(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of all strings of 32, of 64 and of 100 bytes, by start."""
     by = {1: BYTES[text]}
     k = 1
     while k < 64:
@@ -51,7 +53,7 @@ def names(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k *= 2
     n = len(text) - LENGTH + 1
     # 100 = 64 + 32 + 4
-    return by[32], double(double(by[64][:n], by[32][64 : 64 + n]), by[4][96 : 96 + n])
+    return by[32], by[64], double(double(by[64][:n], by[32][64 : 64 + n]), by[4][96 : 96 + n])
 
 
 def anchors(seeds: np.ndarray) -> np.ndarray:
@@ -66,7 +68,10 @@ def anchors(seeds: np.ndarray) -> np.ndarray:
 
 
 def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, start, windows, seed name, block name) of the blocks of these texts, which windows don't cross."""
+    """(text number, start, windows, seed name, block name, sides) of the blocks of these texts, which windows don't cross.
+
+    Sides packs 28 bits of the 64-byte names that end and begin with the seed's string, and its place in the block.
+    """
     data = np.frombuffer(b"".join(texts), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(lens) - lens
@@ -74,8 +79,8 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     total = int(counts.sum())
     if not total:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty
-    seeds, wholes = names(data)
+        return (empty,) * 6
+    seeds, doubles, wholes = names(data)
     own = np.repeat(np.arange(len(texts)), counts)
     p = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(total)
     at = anchors(seeds)[p]
@@ -86,27 +91,45 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     # The first and the last window overlap: their names and places name every byte of the block.
     block = double(double(wholes[p1], wholes[p2]), shape)
     doc = own[first]
-    return doc, p1 - begin[doc], p2 - p1 + 1, seeds[q].view(np.int64), block.view(np.int64)
+    # A side that no window of the block reaches is never asked for; its place is kept within the data.
+    left = doubles[np.maximum(q - SEED_LENGTH, 0)] >> np.uint64(36)
+    right = doubles[np.minimum(q, len(doubles) - 1)] >> np.uint64(36)
+    sides = (left << np.uint64(35) | right << np.uint64(7) | (q - p1).astype(np.uint64)).view(np.int64)
+    return doc, p1 - begin[doc], p2 - p1 + 1, seeds[q].view(np.int64), block.view(np.int64), sides
 
 
-SCHEMA = "kind int, a long, b long, key long, p long, n long"
+SCHEMA = "kind int, a long, b long, key long, p long, n long, c long"
 TO_RANK, REPEATED, UNDECIDED = 0, 1, 2
 
 
-def _batch(kind, a, b, key, p, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(kind, len(key)).astype(np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (a, b, key, p, n))], names=["kind", "a", "b", "key", "p", "n"])
+def _batch(kind, a, b, key, p, n, c) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(kind, len(key)).astype(np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (a, b, key, p, n, c))], names=["kind", "a", "b", "key", "p", "n", "c"])
 
 
-def _first_here(a, b, key, p, n) -> pa.RecordBatch:
+def _first_here(a, b, key, p, n, c) -> Iterator[pa.RecordBatch]:
     """Rows of one name meet first in their batch: only the earliest is ranked, the others are repeats for certain.
 
-    Repeats get a name that spreads them over the partitions.
+    Repeats that follow each other become one run, and get a name that spreads them over the partitions.
     """
     order = np.lexsort((p, key, b, a))
-    a, b, key, p, n = (x[order] for x in (a, b, key, p, n))
     again = np.zeros(len(a), bool)
-    again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    return _batch(np.where(again, REPEATED, TO_RANK), np.where(again, (key.view(np.uint64) * ODD).view(np.int64), a), np.where(again, 0, b), key, p, n)
+    again[1:] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    once, more = order[~again], order[again]
+    yield _batch(TO_RANK, *(x[once] for x in (a, b, key, p, n, c)))
+    if len(more):
+        key, p, n = runs(key[more], p[more], n[more])
+        zero = np.zeros(len(key), np.int64)
+        yield _batch(REPEATED, (key.view(np.uint64) * ODD).view(np.int64), zero, key, p, n, zero)
+
+
+def runs(key: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that follow each other in a text, as one row."""
+    order = np.lexsort((p, key))
+    key, p, n = key[order], p[order], n[order]
+    starts = np.ones(len(key), bool)
+    starts[1:] = (key[1:] != key[:-1]) | (p[1:] != p[:-1] + n[:-1])
+    at = np.flatnonzero(starts)
+    return key[at], p[at], np.add.reduceat(n, at)
 
 
 def _grouped(texts: list, size: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -126,32 +149,56 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
         parts = []
         for s, e in _grouped(texts):
-            doc, p, n, seed, block = blocks(texts[s:e])
-            parts.append((seed, block, keys[s:e][doc], p, n))
+            doc, p, n, seed, block, sides = blocks(texts[s:e])
+            parts.append((seed, block, keys[s:e][doc], p, n, sides))
         if parts:
-            yield _first_here(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from _first_here(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def open_windows(group, a, b, key, p, n, c) -> tuple[np.ndarray, ...]:
+    """Of the first blocks of each name, the windows that another block of the group may hold, too.
+
+    A window that begins at most 36 bytes before its position reaches 32 bytes beyond the position's string, and
+    one that begins at least 32 bytes before it holds the 32 bytes left of it: that side's name must come twice.
+    """
+    bits = np.uint64(28)
+    sides = c.view(np.uint64)
+    twice = []
+    for shift in (35, 7):
+        side = group.astype(np.uint64) << bits | sides >> np.uint64(shift) & np.uint64((1 << 28) - 1)
+        _, which, many = np.unique(side, return_inverse=True, return_counts=True)
+        twice.append(many[which] > 1)
+    left, right = twice
+    q = p + (c & 127)
+    room = LENGTH - SEED_LENGTH - 32
+    first = np.where(left, p, np.maximum(p, q - room))
+    last = np.where(right, p + n - 1, np.minimum(p + n - 1, q - 32))
+    keep = (left | right) & (last >= first)
+    return a[keep], b[keep], key[keep], first[keep], (last - first + 1)[keep], c[keep]
 
 
 def _rank(undecided: bool):
-    """Over rows sorted by (a, b, key, p): all but the first of a name (a, b) are repeated; where one ``a`` has several names, the firsts are undecided."""
+    """Over rows sorted by (a, b, key, p): all but the first of a name (a, b) are repeated; where blocks of one ``a`` differ, windows of the firsts stay undecided."""
 
-    def ranked(rows: list[np.ndarray]) -> pa.RecordBatch:
-        a, b, key, p, n = rows
+    def ranked(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a, b, key, p, n, c = rows
         fresh_a = np.ones(len(a), bool)
         fresh_a[1:] = a[1:] != a[:-1]
         fresh = fresh_a.copy()
         fresh[1:] |= b[1:] != b[:-1]
-        kind = np.where(fresh, UNDECIDED, REPEATED)
-        group = np.cumsum(fresh_a) - 1
-        alone = np.bincount(group, fresh) == 1
-        keep = ~fresh | (~alone[group] if undecided else False)
-        return _batch(kind[keep], a[keep], b[keep], key[keep], p[keep], n[keep])
+        again = np.flatnonzero(~fresh)
+        if len(again):
+            k, at, many = runs(key[again], p[again], n[again])
+            zero = np.zeros(len(k), np.int64)
+            yield _batch(REPEATED, zero, zero, k, at, many, zero)
+        if undecided:
+            yield _batch(UNDECIDED, *open_windows(np.cumsum(fresh_a)[fresh], *(x[fresh] for x in rows)))
 
     def run(batches):
         held = None
         for batch in batches:
             kind = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6)]
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7)]
             known = kind == REPEATED
             if known.any():
                 yield _batch(REPEATED, *(x[known] for x in rows))
@@ -163,10 +210,10 @@ def _rank(undecided: bool):
             # The last name may go on in the next batch.
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             if last:
-                yield ranked([x[:last] for x in rows])
+                yield from ranked([x[:last] for x in rows])
             held = [x[last:].copy() for x in rows]
         if held is not None:
-            yield ranked(held)
+            yield from ranked(held)
 
     return run
 
@@ -178,11 +225,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             data = np.frombuffer((text or "").encode(), np.uint8)
             p, n, a = (found.values.field(k).to_numpy(zero_copy_only=False) for k in ("p", "n", "a"))
-            wholes = names(data)[1].view(np.int64)
+            wholes = names(data)[2].view(np.int64)
             at = np.repeat(p - np.cumsum(n) + n, n) + np.arange(n.sum())
-            parts.append((wholes[at], np.repeat(a, n), np.full(len(at), key, np.int64), at, np.ones(len(at), np.int64)))
+            parts.append((wholes[at], np.repeat(a, n), np.full(len(at), key, np.int64), at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
         if parts:
-            yield _first_here(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from _first_here(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def removal(text: bytes, p: np.ndarray, n: np.ndarray) -> tuple[int, int, bytes]:
@@ -227,14 +274,11 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def repeated_runs(rows: DataFrame, partitions: int) -> tuple[DataFrame, list[str]]:
     """(key, p, n): n windows from p on that start earlier, too; and the tables it reads."""
-    spark = rows.sparkSession
     ranked = rows.select("key", "text").mapInArrow(_blocks, SCHEMA).repartition(partitions, "a").sortWithinPartitions("a", "b", "key", "p").mapInArrow(_rank(True), SCHEMA)
     first, first_at = save(ranked, "rank32")
-    drop(spark)
     open_ = _lists(first.where(F.col("kind") == UNDECIDED), "p", "n", "a")
     windows = rows.select("key", "text").join(open_.hint("shuffle_hash"), "key").select("key", "text", "found").mapInArrow(_windows, SCHEMA)
     second, second_at = save(windows.repartition(partitions, "a").sortWithinPartitions("a", "b", "key", "p").mapInArrow(_rank(False), SCHEMA), "rank100")
-    drop(spark)
     return first.where(F.col("kind") == REPEATED).select("key", "p", "n").unionByName(second.where(F.col("kind") == REPEATED).select("key", "p", "n")), [first_at, second_at]
 
 
