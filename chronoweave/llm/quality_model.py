@@ -130,12 +130,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets:
     params = [np.array([np.log(share / (1 - share))], np.float32), np.zeros(size, np.float32), rng.normal(0, 0.02, (size, rank)).astype(np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     step, batch = 0, 128
-    squared = x * x
     for epoch in range(epochs):
         order, rate = rng.permutation(len(x)), 0.02 * (1 - epoch / (epochs + 1))
         for a in range(0, len(x), batch):
             pick = order[a : a + batch]
-            b, b2 = x[pick], squared[pick]
+            b = x[pick]
+            b2 = b * b
             w0, w, v = params
             total = b @ v
             z = w0 + b @ w + 0.5 * ((total * total).sum(axis=1) - (b2 @ (v * v)).sum(axis=1))
