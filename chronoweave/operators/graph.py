@@ -43,6 +43,37 @@ def components(edges: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame
         now = after.select(*keys, "node", "root")
 
 
+def components_within(edges: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """components() for graphs that stay small within ``by``: a device's distinct pairs of signals, however many events made them.
+
+    Pairs are made distinct before they are dealt, and each group is joined up in one pass.
+    """
+    keys = list(by)
+    nodes = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*keys).schema.fields)
+
+    def run(pdf):
+        import pandas as pd
+
+        root: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(pdf.a, pdf.b, strict=True):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        out = pd.DataFrame({"node": list(root)})
+        out["root"] = [find(x) for x in out.node]
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    return edges.select(*keys, "a", "b").distinct().groupBy(*keys).applyInPandas(run, f"{nodes}, node string, root string")
+
+
 def representatives(labels: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
     """(by..., signal, cluster): each component is named after its first place, or else its first signal."""
     named = labels.groupBy(*by, "root").agg(F.min(F.struct((~F.col("node").startswith("duet:")).alias("n"), F.col("node").alias("id"))).alias("m"))
@@ -52,12 +83,12 @@ def representatives(labels: DataFrame, by: tuple[str, ...] = ("entity",)) -> Dat
 def clusters(co: DataFrame, now: int, threshold: float = CLUSTER_THRESHOLD, by: tuple[str, ...] = ("entity",)) -> DataFrame:
     """Clusters of the signals on edges whose decayed weight reaches the threshold."""
     kept = co.where(weight(F.col("total_seconds"), F.col("last_seen"), now) >= threshold)
-    return representatives(components(kept.select(*by, F.col("signal_a").alias("a"), F.col("signal_b").alias("b")), by), by)
+    return representatives(components_within(kept.select(*by, F.col("signal_a").alias("a"), F.col("signal_b").alias("b")), by), by)
 
 
 def subnet_groups(pairs: DataFrame, wifi: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
     """(by..., subnet, group_id): the smallest subnet of the component, for every subnet seen; one alone is its own."""
-    labels = components(pairs.select(*by, F.col("subnet_a").alias("a"), F.col("subnet_b").alias("b")), by).select(*by, F.col("node").alias("subnet"), "root")
+    labels = components_within(pairs.select(*by, F.col("subnet_a").alias("a"), F.col("subnet_b").alias("b")), by).select(*by, F.col("node").alias("subnet"), "root")
     return wifi.where("subnet <> ''").select(*by, "subnet").distinct().join(labels, [*by, "subnet"], "left").select(*by, "subnet", F.coalesce("root", "subnet").alias("group_id"))
 
 
