@@ -226,6 +226,12 @@ def test_html_names(spark):
     assert html_text.main_text(NESTED) == "T\nOne two\nthree x\nlink"
 
 
+def test_html_quote_never_closed():
+    words = "World, all of it is here."
+    assert html_text.main_text(f'<div><p class="x>Hello there</p><p>{words}</p></div>') == f"Hello there\n{words}"
+    assert html_text.main_text(f"<div><p title='it>Hello there</p><p>{words}</p></div>") == f"Hello there\n{words}"
+
+
 def test_html(spark):
     assert html_text.main_text(PAGE) == "A title\nFirst & last, with marks.\nSecond para.\nTi.\none\ntwo"
     assert html_text.main_text(PLAIN) == "Title here\nLong enough to be the article, with marks; yes.\nMore text here, and a little more of it, to be sure."
