@@ -1,4 +1,4 @@
-"""Sessions from open, close and keyboard events, and from hourly totals, with window functions alone."""
+"""Sessions from open, close and keyboard events, and from hourly totals, with running values and windows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import BUCKET_SLACK, HOUR, MERGE_GAP, MIN_PERIOD, SOFT_CLOSE
 from ..functions.times import day_start, effective_day, next_day
+from ..tables import saved
+from .running import running
 
 
 def raw_events(backlight: DataFrame, screen: DataFrame, inputs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -25,45 +27,46 @@ def sessions(events: DataFrame, now: int) -> DataFrame:
     A session begins at a hard open, or at a key after a pause; it ends at a hard close, or at the last key
     before a pause of thirty minutes, when the next key begins another.
     """
-    w = Window.partitionBy("entity").orderBy("time_ms", "src_ord", "seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    order = ("src_ord", "seq")
     t, kbd = F.col("time_ms"), F.col("kind") == "kbd"
-    marked = events.select(
-        "*",
-        F.last(F.when(kbd, t), ignorenulls=True).over(before).alias("last_key"),
-        F.last(F.when(F.col("kind") == "hard_close", t), ignorenulls=True).over(before).alias("last_close"),
-    )
+    used = events.select("entity", "time_ms", *order, "kind")
+    # Each step needs the one before in each bin and across bins: written once rather than worked out twice.
+    marked = saved(running(used, order=order, lasts={"last_key": F.when(kbd, t), "last_close": F.when(F.col("kind") == "hard_close", t)}), "marked")
     paused = F.coalesce(t - F.col("last_key") >= SOFT_CLOSE, F.lit(True))
     wakes = kbd & paused & F.coalesce(t > F.col("last_close"), F.lit(True))
     state = F.when(F.col("kind") == "hard_open", 1).when(F.col("kind") == "hard_close", 0).when(wakes, 1)
-    known = marked.withColumn("state", state).withColumn("was_open", F.coalesce(F.last("state", ignorenulls=True).over(before) == 1, F.lit(False)))
-    split = kbd & F.col("was_open") & F.coalesce(t - F.col("last_key") >= SOFT_CLOSE, F.lit(False))
-    begins = split | ~F.col("was_open") & F.coalesce(F.col("state") == 1, F.lit(False))
-    parted = known.select("entity", "time_ms", "kind", "last_key", "was_open", split.alias("split"), begins.alias("begins"), "src_ord", "seq").withColumn("session", F.sum(F.col("begins").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    known = running(marked.withColumn("state", state), order=order, lasts={"was": F.col("state")})
+    was_open = F.coalesce(F.col("was") == 1, F.lit(False))
+    split = kbd & was_open & F.coalesce(t - F.col("last_key") >= SOFT_CLOSE, F.lit(False))
+    begins = split | ~was_open & F.coalesce(F.col("state") == 1, F.lit(False))
+    steps = saved(known.select("entity", "time_ms", *order, "kind", "last_key", was_open.alias("was_open"), split.alias("split"), begins.alias("begins")), "steps")
+    parted = running(steps, order=order, sums={"session": F.col("begins").cast("long")}, inclusive=True)
+    # A key that splits also tells the session before it where that one ended.
+    rows = parted.withColumn("back", F.explode(F.when(F.col("split"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    own = F.col("back") == 0
     per = (
-        parted.where("session > 0")
+        rows.withColumn("session", F.col("session") - F.col("back"))
+        .where("session > 0")
         .groupBy("entity", "session")
         .agg(
-            F.min(F.when(F.col("begins"), t)).alias("first_ms"),
-            F.min(F.when((F.col("kind") == "hard_close") & F.col("was_open"), t)).alias("closed"),
-            F.max(F.col("kind") == "hard_open").alias("hard"),
-            F.max(F.when(F.col("begins") & F.col("split"), F.col("last_key"))).alias("split_key"),
-            F.max(F.when(kbd, t)).alias("key"),
+            F.min(F.when(own & F.col("begins"), t)).alias("first_ms"),
+            F.min(F.when(own & (F.col("kind") == "hard_close") & F.col("was_open"), t)).alias("closed"),
+            F.max(own & (F.col("kind") == "hard_open")).alias("hard"),
+            F.max(F.when(~own, F.col("last_key"))).alias("next_split"),
+            F.max(F.when(own & kbd, t)).alias("key"),
         )
     )
-    following = Window.partitionBy("entity").orderBy("session")
     open_end = F.when(~F.col("hard") & (F.col("key") > F.col("first_ms")), F.col("key")).otherwise(F.lit(now))
-    ends = per.withColumn("next_split", F.lead("split_key").over(following))
-    return ends.select("entity", "first_ms", F.coalesce("closed", "next_split", open_end).alias("last_ms"))
+    return per.select("entity", "first_ms", F.coalesce("closed", "next_split", open_end).alias("last_ms"))
 
 
 def merge_islands(periods: DataFrame, gap: int = MERGE_GAP, shortest: int = MIN_PERIOD) -> DataFrame:
     """Periods of at least ``shortest``, joined where no more than ``gap`` parts them."""
-    w = Window.partitionBy("entity").orderBy("first_ms", "last_ms")
-    reach = F.max("last_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    long = periods.where(F.col("last_ms") - F.col("first_ms") >= shortest).withColumn("reach", reach)
-    island = F.sum(F.coalesce((F.col("first_ms") - F.col("reach") > gap).cast("long"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return long.withColumn("island", island).groupBy("entity", "island").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms")).drop("island")
+    long = periods.where(F.col("last_ms") - F.col("first_ms") >= shortest).select("entity", "first_ms", "last_ms")
+    reached = saved(running(long, time="first_ms", order=("last_ms",), maxima={"reach": F.col("last_ms")}), "reach")
+    parts = F.coalesce((F.col("first_ms") - F.col("reach") > gap).cast("long"), F.lit(0))
+    numbered = running(reached, time="first_ms", order=("last_ms",), sums={"island": parts}, inclusive=True)
+    return numbered.groupBy("entity", "island").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms")).drop("island")
 
 
 def bucket_events(buckets: DataFrame, keys: DataFrame) -> DataFrame:

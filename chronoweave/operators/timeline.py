@@ -7,12 +7,13 @@ to an end of its own. Rewriting earlier rows is then dropping or relabelling mar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MIN_PERIOD, SOFT_CLOSE
 from ..functions.times import day_start, effective_day
 from .asof import asof, keep_first
+from .running import running
 
 ACTIVE, BREAK, TRANSIT = "active", "break", "transit"
 #: At one moment streams come in this order.
@@ -142,13 +143,13 @@ def initial_state(days: DataFrame, backlight: DataFrame, screen: DataFrame, inpu
     def rows(df: DataFrame, at: str, side: int, **given) -> DataFrame:
         return df.select("entity", F.col(at).alias("at"), F.lit(side).alias("side"), *[(F.col(given[c]) if c in given else F.lit(None).cast(t)).alias(c) for c, t in none.items()], F.col("seq").alias("seq"))
 
-    # All five streams and the days in one sort: at one moment a day's start comes first, so only earlier events count.
+    # All five streams and the days in one order: at one moment a day's start comes first, so only earlier events count.
     every = rows(days.select("entity", "day", day_start(F.col("day")).alias("start_ms"), F.lit(0).cast("long").alias("seq")), "start_ms", 0, day="day")
     last = inputs.select("entity", "time_ms", "seq").unionByName(focus.select("entity", "time_ms", "seq"))
     for df, given in ((backlight, {"lit": "active"}), (screen, {"kind": "kind"}), (wifi.where("network is not null"), {"network": "network"}), (last, {"input_ms": "time_ms"})):
         every = every.unionByName(rows(df, "time_ms", 1, **given))
-    w = Window.partitionBy("entity").orderBy("at", "side", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    known = every.select("entity", "day", F.col("at").alias("start_ms"), *[F.last(c, ignorenulls=True).over(w).alias(c) for c in none if c != "day"]).where("day is not null")
+    found = running(every, time="at", order=("side", "seq"), lasts={f"last_{c}": F.col(c) for c in none if c != "day"}).where("day is not null")
+    known = found.select("entity", "day", F.col("at").alias("start_ms"), *[F.col(f"last_{c}").alias(c) for c in none if c != "day"])
     return known.select("entity", "day", "start_ms", F.coalesce("lit", F.lit(False)).alias("lit"), F.coalesce(F.col("kind") == "lock", F.lit(False)).alias("locked"), "network", F.nullif(F.col("input_ms"), F.lit(0)).alias("last_input"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BUCKET_SLACK, DAY, HOUR, MERGE_GAP, MIN_PERIOD, MIN_SESSION, PROXIMITY, SOFT_CLOSE
 from ..functions import network, times
-from ..operators import asof, graph, intervals, location, sessions, timeline, upsert
+from ..operators import asof, graph, intervals, location, running, sessions, timeline, upsert
 from ..tables import saved
 from . import report, usecase
 from . import streams as st
@@ -585,4 +585,4 @@ def q_since(spark, d):
 def q_ties(spark, d):
     """One order for all streams."""
     raw = sessions.raw_events(st.backlight(spark, d), st.screen(spark, d), st.inputs(spark, d))
-    return raw.select("entity", "time_ms", F.row_number().over(Window.partitionBy("entity").orderBy("time_ms", "src_ord", "seq")).cast("long").alias("n"), "kind")
+    return running.running(raw, order=("src_ord", "seq"), sums={"n": F.lit(1).cast("long")}, inclusive=True).select("entity", "time_ms", "n", "kind")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronoweave import __main__ as cli
 from chronoweave.constants import MINUTE as M
 from chronoweave.functions import network, times
-from chronoweave.operators import asof, graph, intervals, location, sessions, upsert
+from chronoweave.operators import asof, graph, intervals, location, running, sessions, upsert
 from chronoweave.plans import report
 from chronoweave.sources import binary, config, logs, sqlite
 
@@ -341,3 +341,27 @@ def test_reports(spark):
     others = F.array(*[F.lit(f"o{k}") for k in range(10)])
     got = spark.range(1).select(*[report.symbol(F.lit(x), F.lit("d"), others) for x in ("d", "o0", "o7", "o8", "?")], report.symbol(F.lit("o0"), F.lit("d"), F.array(F.lit("o0")))).first()
     assert tuple(got) == ("✓", "²", "⁹", "10", "²", "*")
+
+
+def test_running_values_cross_bins(spark):
+    """Against a plain fold, with null keys, null times, ties and a key that has most rows."""
+    rng = random.Random(5)
+    data = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, *range(0, 9_000, 7)]), k, rng.choice([None, rng.randrange(50)])) for k in range(600)]
+    df = spark.createDataFrame(data, "entity string, time_ms long, seq long, v long")
+    for inclusive in (False, True):
+        out = running.running(df, order=("seq",), lasts={"last": F.col("v")}, sums={"sum": F.col("v")}, maxima={"max": F.col("v")}, inclusive=inclusive, size=1000)
+        want = []
+        for e in {r[0] for r in data}:
+            seen = []
+            for r in sorted((r for r in data if r[0] == e), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+                known = [x for x in [*seen, *([r[3]] if inclusive else [])] if x is not None]
+                want.append((r[2], known[-1] if known else None, sum(known) if known else None, max(known, default=None)))
+                seen.append(r[3])
+        assert sorted((r.seq, r.last, r.sum, r.max) for r in out.collect()) == sorted(want)
+    following = running.with_next(df.where("time_ms is not null"), "next", order=("seq",), size=1000)
+    want = []
+    for e in {r[0] for r in data}:
+        mine = sorted((r[1], r[2]) for r in data if r[0] == e and r[1] is not None)
+        want += [(k, nxt) for (_, k), nxt in zip(mine, [t for t, _ in mine[1:]] + [None])]
+    assert sorted((r.seq, r.next) for r in following.collect()) == sorted(want)
+    assert running.running(df.limit(0), lasts={"last": F.col("v")}).count() == 0
