@@ -34,12 +34,14 @@ def main(args: list[str]) -> int:
     kind, when = parse(rest[0])
     colour = report.use_colour(colours[-1] if colours else "auto", sys.stdout.isatty(), dict(os.environ))
     spark = SparkSession.builder.appName("chronoweave").config("spark.sql.session.timeZone", os.environ.get("TZ", "UTC")).getOrCreate()
-    rows, main_place = queries._located(spark, os.environ["CHRONOWEAVE_DATA"])
+    rows, places = queries._located(spark, os.environ["CHRONOWEAVE_DATA"])
     mine = intervals.smooth(rows.where(F.col("entity") == os.environ.get("CHRONOWEAVE_DEVICE", "0")))
     if kind == "day":
-        print(report.render_day(report.day_report(mine.where(F.col("day") == when)), colour))
+        found = report.day_report(mine.where(F.col("day") == when))
+        print(report.render_day(report.with_places(found, places.dominant, places.others), colour))
     else:
-        print(report.render_month(report.month_report(mine.where(F.date_format("day", "yyyyMM") == when), main_place, F.current_date()), colour))
+        found = report.month_report(mine.where(F.date_format("day", "yyyyMM") == when), places.dominant, F.current_date())
+        print(report.render_month(report.with_places(found, places.dominant, places.others), colour))
     return 0
 
 

@@ -462,8 +462,7 @@ def all_streams(spark, d) -> usecase.Streams:
 
 
 def _located(spark, d):
-    rows, places = usecase.intervals_for_days(all_streams(spark, d), timeline.days_between([st.events(spark, d)]), st.NOW, st.OFFICE, st.LOCK_APP)
-    return rows, places.dominant
+    return usecase.intervals_for_days(all_streams(spark, d), timeline.days_between([st.events(spark, d)]), st.NOW, st.OFFICE, st.LOCK_APP)
 
 
 @query("timeline_day_report")
@@ -476,8 +475,8 @@ def q_full_day(spark, d):
 @query("timeline_month_report")
 def q_full_month(spark, d):
     """Entry point B: A1 to A4 and T5 over the same rows."""
-    rows, main = _located(spark, d)
-    m = report.month_report(intervals.smooth(rows), main, F.lit("2024-01-31").cast("date"))
+    rows, places = _located(spark, d)
+    m = report.month_report(intervals.smooth(rows), places.dominant, F.lit("2024-01-31").cast("date"))
     return text_day(m.select("entity", "day", "first_ms", "last_ms", "total_ms", F.array_join("locations", ",").alias("locations"), F.size("breaks").alias("n_breaks")))
 
 

@@ -45,6 +45,22 @@ def symbol(location: Column, dominant: Column, others: Column) -> Column:
     return F.when(location.isNull(), "").when(location.eqNullSafe(dominant), "✓").when(F.size(others) == 1, "*").otherwise(raised)
 
 
+def with_places(report: DataFrame, dominant: DataFrame, others: DataFrame) -> DataFrame:
+    """A day or month report with the dominant place and the other places of each row's entity, and the symbols of the row's own."""
+    known = report.join(dominant.select("entity", "dominant_id"), "entity", "left").join(others.select("entity", "other_ids"), "entity", "left")
+    known = known.withColumn("other_ids", F.coalesce("other_ids", F.array().cast("array<string>")))
+    own = F.col("locations") if "locations" in report.columns else F.when(F.col("location").isNull(), F.array().cast("array<string>")).otherwise(F.array("location"))
+    return known.withColumn("places", own).withColumn("symbols", F.transform("places", lambda x: symbol(x, F.col("dominant_id"), F.col("other_ids"))))
+
+
+def legend(rows: list) -> list[str]:
+    """What the symbols of these rows mean: the dominant place if they have it, then the other places that they have."""
+    used = {place: sign for r in rows for place, sign in zip(r.places, r.symbols, strict=True)}
+    out = [f"{used[rows[0].dominant_id]}  Main office"] if rows and rows[0].dominant_id in used else []
+    others = [used[x] for x in rows[0].other_ids if x in used] if rows else []
+    return [*out, f"{' '.join(others)}  Other office"] if others else out
+
+
 def printable(report: DataFrame) -> DataFrame:
     """Times as text: from, to (HH:MM since the day's midnight), length and weekday."""
     return report.select("*", extended_time(F.col("day"), F.col("first_ms")).alias("from_text"), extended_time(F.col("day"), F.col("last_ms")).alias("to_text"), duration(F.col("last_ms") - F.col("first_ms")).alias("length_text"), weekday(F.col("day")).alias("weekday"))
@@ -61,22 +77,24 @@ def use_colour(choice: str, terminal: bool, environment: dict) -> bool:
 
 
 def render_day(report: DataFrame, colour: bool = False) -> str:
-    """Text of one device's day: a report of one day is small."""
+    """Text of one device's day: a report of one day is small. With places (``with_places``), symbols stand for ids and a legend follows."""
+    named = "symbols" in report.columns
     rows = printable(report).orderBy("first_ms").collect()
     if not rows:
         return "No activity."
     lines = [f"{rows[0].weekday} {rows[0].day}"]
     for r in rows:
-        text = f"{r.from_text}–{r.to_text}  {r.length_text}  {r.label:<8}{(getattr(r, 'location', None) or '')}".rstrip()
+        text = f"{r.from_text}–{r.to_text}  {r.length_text}  {r.label:<8}{''.join(r.symbols) if named else getattr(r, 'location', None) or ''}".rstrip()
         lines.append(f"{COLOURS[r.label]}{text}\x1b[0m" if colour else text)
     total = rows[0].total_ms // 60000
-    return "\n".join([*lines, f"Active {total // 60:02d}h{total % 60:02d}"])
+    return "\n".join([*lines, f"Active {total // 60:02d}h{total % 60:02d}", *(legend(rows) if named else [])])
 
 
 def render_month(report: DataFrame, colour: bool = False) -> str:
-    """Text of one device's month, a line a day: at most 31 rows."""
-    lines = []
-    for r in printable(report).orderBy("day").collect():
-        text = f"{r.weekday} {r.day}  {r.from_text}–{r.to_text}  {r.total_ms // 3600000:02d}h{r.total_ms // 60000 % 60:02d}  {len(r.breaks)} breaks  {' '.join(r.locations)}".rstrip()
+    """Text of one device's month, a line a day: at most 31 rows. Places as in ``render_day``."""
+    named = "symbols" in report.columns
+    rows, lines = printable(report).orderBy("day").collect(), []
+    for r in rows:
+        text = f"{r.weekday} {r.day}  {r.from_text}–{r.to_text}  {r.total_ms // 3600000:02d}h{r.total_ms // 60000 % 60:02d}  {len(r.breaks)} breaks  {''.join(r.symbols) if named else ' '.join(r.locations)}".rstrip()
         lines.append(f"{COLOURS['active']}{text}\x1b[0m" if colour else text)
-    return "\n".join(lines) or "No activity."
+    return "\n".join([*lines, *(legend(rows) if named else [])]) or "No activity."

@@ -338,6 +338,12 @@ def test_reports(spark):
     r = month.first()
     assert (r.first_ms, r.last_ms, r.total_ms, r.locations, len(r.breaks)) == (base + 5 * M, base + 125 * M, 90 * M, ["duet:b", "duet:a"], 1)
     assert "01h30  1 breaks  duet:b duet:a" in report.render_month(month, colour=True)
+    other = spark.createDataFrame([("x", ["duet:a", "duet:c"])], "entity string, other_ids array<string>")
+    text = report.render_day(report.with_places(out, dom, other)).splitlines()
+    assert text[1].endswith("active  ✓") and text[3].endswith("active  ²") and text[-2:] == ["✓  Main office", "²  Other office"]
+    text = report.render_month(report.with_places(month, dom, other)).splitlines()
+    assert text[0].endswith("1 breaks  ✓²") and text[1:] == ["✓  Main office", "²  Other office"]
+    assert report.render_month(report.with_places(month.limit(0), dom, other)) == "No activity."
     others = F.array(*[F.lit(f"o{k}") for k in range(10)])
     got = spark.range(1).select(*[report.symbol(F.lit(x), F.lit("d"), others) for x in ("d", "o0", "o7", "o8", "?")], report.symbol(F.lit("o0"), F.lit("d"), F.array(F.lit("o0")))).first()
     assert tuple(got) == ("✓", "²", "⁹", "10", "²", "*")
