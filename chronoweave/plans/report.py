@@ -79,22 +79,21 @@ def use_colour(choice: str, terminal: bool, environment: dict) -> bool:
 def render_day(report: DataFrame, colour: bool = False) -> str:
     """Text of one device's day: a report of one day is small. With places (``with_places``), symbols stand for ids and a legend follows."""
     named = "symbols" in report.columns
-    rows = printable(report).orderBy("first_ms").collect()
+    rows = printable(report).withColumn("total_text", duration(F.col("total_ms"))).orderBy("first_ms").collect()
     if not rows:
         return "No activity."
     lines = [f"{rows[0].weekday} {rows[0].day}"]
     for r in rows:
         text = f"{r.from_text}–{r.to_text}  {r.length_text}  {r.label:<8}{''.join(r.symbols) if named else getattr(r, 'location', None) or ''}".rstrip()
         lines.append(f"{COLOURS[r.label]}{text}\x1b[0m" if colour else text)
-    total = rows[0].total_ms // 60000
-    return "\n".join([*lines, f"Active {total // 60:02d}h{total % 60:02d}", *(legend(rows) if named else [])])
+    return "\n".join([*lines, f"Active {rows[0].total_text}", *(legend(rows) if named else [])])
 
 
 def render_month(report: DataFrame, colour: bool = False) -> str:
     """Text of one device's month, a line a day: at most 31 rows. Places as in ``render_day``."""
     named = "symbols" in report.columns
-    rows, lines = printable(report).orderBy("day").collect(), []
+    rows, lines = printable(report).withColumn("total_text", duration(F.col("total_ms"))).orderBy("day").collect(), []
     for r in rows:
-        text = f"{r.weekday} {r.day}  {r.from_text}–{r.to_text}  {r.total_ms // 3600000:02d}h{r.total_ms // 60000 % 60:02d}  {len(r.breaks)} breaks  {''.join(r.symbols) if named else ' '.join(r.locations)}".rstrip()
+        text = f"{r.weekday} {r.day}  {r.from_text}–{r.to_text}  {r.total_text}  {len(r.breaks)} breaks  {''.join(r.symbols) if named else ' '.join(r.locations)}".rstrip()
         lines.append(f"{COLOURS['active']}{text}\x1b[0m" if colour else text)
     return "\n".join([*lines, *(legend(rows) if named else [])]) or "No activity."

@@ -344,6 +344,8 @@ def test_reports(spark):
     text = report.render_month(report.with_places(month, dom, other)).splitlines()
     assert text[0].endswith("1 breaks  ✓²") and text[1:] == ["✓  Main office", "²  Other office"]
     assert report.render_month(report.with_places(month.limit(0), dom, other)) == "No activity."
+    assert report.render_day(out.withColumn("total_ms", F.lit(30_000).cast("long"))).endswith("Active 00h01")
+    assert "  00h01  1 breaks" in report.render_month(month.withColumn("total_ms", F.lit(30_000).cast("long")))
     others = F.array(*[F.lit(f"o{k}") for k in range(10)])
     got = spark.range(1).select(*[report.symbol(F.lit(x), F.lit("d"), others) for x in ("d", "o0", "o7", "o8", "?")], report.symbol(F.lit("o0"), F.lit("d"), F.array(F.lit("o0")))).first()
     assert tuple(got) == ("✓", "²", "⁹", "10", "²", "*")
