@@ -10,13 +10,14 @@ a tolerance give proximity matches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import drop, save, table
 
 WINDOW = 10
 SLOP = 2
@@ -32,9 +33,9 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def windows_of(items: list[tuple[int, str | None]], size: int = WINDOW) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(items: list[tuple[int, str | None]], size: int = WINDOW, term_of: dict[bytes, int] | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Terms; a row of term numbers for each distinct window, -1 after its end; and which window belongs to which item."""
-    term_of: dict[bytes, int] = {}
+    term_of = {} if term_of is None else term_of
     found: dict[tuple[int, ...], int] = {}
     pairs = set()
     for item, text in items:
@@ -128,18 +129,47 @@ def search_block(terms: np.ndarray, begins: np.ndarray, postings: np.ndarray, wi
     return np.concatenate(out_w), np.concatenate(out_s)
 
 
-def _search(windows: np.ndarray, owned_window: np.ndarray, owned_item: np.ndarray, slop: int):
+def _cover(spans: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of the spans [start, end)."""
+    change = np.zeros(size, np.int64)
+    np.add.at(change, spans[0], 1)
+    np.add.at(change, spans[1], -1)
+    return np.cumsum(change) > 0
+
+
+def _rows(docs: np.ndarray, starts: np.ndarray, spans: np.ndarray, exact: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    """A block's result from its hit spans and its sorted, distinct (document, item) pairs."""
+    n_hit = np.add.reduceat(_cover(spans, int(starts[-1]) + 1).astype(np.int64), starts[:-1])
+    at = np.searchsorted(exact[0], np.arange(len(docs) + 1))
+    items = [exact[1, a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(docs, pa.int64(), mask=docs == NO_DOC), pa.array(np.diff(starts) - GAP, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(np.bincount(near[0], minlength=len(docs)), pa.int64())],
+        names=["doc_id", "n_words", "n_hit", "items", "n_near_items"],
+    )
+
+
+RESULT = "doc_id long, n_words long, n_hit long, items array<long>, n_near_items long"
+#: A pass's result for one block, where anything is found: spans and pairs as two rows of 64-bit numbers each.
+FOUND = "block long, spans binary, exact binary, near binary"
+
+
+def _pairs(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i8").reshape(2, -1)
+
+
+def _search(windows: np.ndarray, owned_window: np.ndarray, owned_item: np.ndarray, slop: int, whole: bool):
+    """Rows of RESULT if the windows are the whole benchmark, or else of FOUND."""
     length = (windows >= 0).sum(axis=1)
     by = np.argsort(owned_window, kind="stable")
     item_of, item_at = owned_item[by], np.searchsorted(owned_window[by], np.arange(len(windows) + 1))
 
-    def items(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def items(w: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Distinct (document, item) pairs of window matches."""
         pair = np.unique(np.stack([doc, w]), axis=1) if len(w) else np.zeros((2, 0), np.int64)
         n = item_at[pair[1] + 1] - item_at[pair[1]]
         item = item_of[np.repeat(item_at[pair[1]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         both = np.stack([np.repeat(pair[0], n), item])
-        return tuple(np.unique(both, axis=1)) if both.shape[1] else (both[0], both[1])
+        return np.unique(both, axis=1) if both.shape[1] else both
 
     def run(batches):
         for batch in batches:
@@ -147,23 +177,37 @@ def _search(windows: np.ndarray, owned_window: np.ndarray, owned_item: np.ndarra
                 docs, starts, terms, begins = (np.frombuffer(row[k], t) for k, t in (("docs", "<i8"), ("starts", "<i8"), ("terms", "<i4"), ("begins", "<i8")))
                 postings = np.frombuffer(row["postings"], "<i8" if starts[-1] >> 31 else "<i4")
                 w, start = search_block(terms, begins, postings, windows)
-                hit = np.zeros(int(starts[-1]) + 1, np.int64)
-                np.add.at(hit, start, 1)
-                np.add.at(hit, start + length[w], -1)
-                n_hit = np.add.reduceat((np.cumsum(hit) > 0).astype(np.int64), starts[:-1])
-                d, item = items(w, np.searchsorted(starts, start, "right") - 1)
+                spans = np.stack([start, start + length[w]])
+                exact = items(w, np.searchsorted(starts, start, "right") - 1)
                 w, start = search_block(terms, begins, postings, windows, slop)
-                near_d, _ = items(w, np.searchsorted(starts, start + slop, "right") - 1)
-                near = np.bincount(near_d, minlength=len(docs)) if len(near_d) else np.zeros(len(docs), np.int64)
-                at = np.searchsorted(d, np.arange(len(docs) + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64(), mask=docs == NO_DOC), pa.array(np.diff(starts) - GAP, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([item[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64())), pa.array(near, pa.int64())],
-                    names=["doc_id", "n_words", "n_hit", "items", "n_near_items"],
-                )
+                near = items(w, np.searchsorted(starts, start + slop, "right") - 1)
+                if whole:
+                    yield _rows(docs, starts, spans, exact, near)
+                elif spans.size or near.size:
+                    edges = np.flatnonzero(np.diff(_cover(spans, int(starts[-1]) + 1), prepend=False))
+                    raw = [np.ascontiguousarray(x, "<i8").tobytes() for x in (edges.reshape(-1, 2).T, exact, near)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], names=["block", "spans", "exact", "near"])
 
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of RESULT from blocks (docs, starts) and what the passes found in each."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            docs, starts = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["starts"], "<i8")
+            spans, exact, near = (np.concatenate([np.zeros((2, 0), np.int64), *(_pairs(x[k]) for x in row["found"] or ())], axis=1) for k in ("spans", "exact", "near"))
+            # An item_id that comes several times may be found in several passes.
+            exact, near = (np.unique(x, axis=1) if x.size else x for x in (exact, near))
+            yield _rows(docs, starts, spans, exact, near)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = {w for text in batch.column(0).to_pylist() for w in words(text)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["term"])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, items_per_pass: int = ITEMS_PER_PASS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids, sorted) and n_near_items for each row of (doc_id, text).
 
@@ -171,15 +215,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     occurs with each word at most ``slop`` places off. Null and empty texts have no words and no hits; items
     without words have no windows. Rows that share a doc_id stay apart. Other columns are ignored.
 
-    The benchmark is a query set and is sent to every task: more than ``items_per_pass`` items are refused, not dropped.
+    The benchmark is a query set and is sent to every task. One of more than ``items_per_pass`` rows is dealt by
+    hash into passes of about so many, which search the same index one after the other; their spans and items
+    are merged for each block of documents. The distinct words of the whole benchmark are held at once.
     """
-    n_items = benchmark.count()
-    if n_items > items_per_pass:
-        raise ValueError(f"{n_items} items: search in several calls, or raise items_per_pass")
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").collect()  # at most items_per_pass
-    terms, table_, owned_window, owned_item = windows_of([(r.item_id, r.text) for r in rows], window)
-    index, _ = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index(terms, block_chars), INDEX), "postings")
-    return index.mapInArrow(_search(table_, owned_window, owned_item, slop), "doc_id long, n_words long, n_hit long, items array<long>, n_near_items long")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    index = lambda terms: save(rows.mapInArrow(_index(terms, block_chars), INDEX).withColumn("block", F.monotonically_increasing_id()), "postings")[0]
+    owned = lambda part: [(r.item_id, r.text) for r in part.collect()]  # noqa: E731  # about items_per_pass rows
+    passes = -(-items.count() // items_per_pass)
+    if passes <= 1:
+        terms, *found = windows_of(owned(items), window)
+        return index(terms).mapInArrow(_search(*found, slop, True), RESULT)
+    dealt, dealt_at = save(items.distinct().withColumn("pass", F.expr(f"int(pmod(xxhash64(item_id, text), {passes}))")), "items", "pass")
+    term_of = {bytes(r.term): k for k, r in enumerate(dealt.select("text").mapInArrow(_terms, "term binary").distinct().collect())}  # the benchmark's words
+    blocks, parts = index(list(term_of)), []
+    for k in range(passes):
+        _, *found = windows_of(owned(dealt.where(F.col("pass") == k)), window, term_of)
+        parts.append(save(blocks.mapInArrow(_search(*found, slop, False), FOUND), "found")[0])
+    drop(docs.sparkSession, dealt_at)
+    merged = reduce(DataFrame.unionByName, parts).groupBy("block").agg(F.collect_list(F.struct("spans", "exact", "near")).alias("found"))
+    return blocks.select("block", "docs", "starts").join(merged, "block", "left").select("docs", "starts", "found").mapInArrow(_merge, RESULT)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

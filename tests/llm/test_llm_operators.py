@@ -203,6 +203,15 @@ def test_decontaminate(spark, docs):
         assert (found[i].n_words, found[i].n_hit, found[i]["items"]) == (len(w), len(hit), sorted(items))
 
 
+def test_benchmark_of_several_passes(spark, docs):
+    more = [(10 + i, prose(12, i)) for i in range(9)]
+    bench = spark.createDataFrame([*BENCHMARK, *more, (1, prose(30, 2)), (3, "one two")], "item_id long, text string")
+    whole = decontaminate.decontaminate(docs, bench, block_chars=2000)
+    assert whole.where("n_hit > 0").count() > 3
+    for n in (1, 4, 16):
+        assert sorted(map(str, decontaminate.decontaminate(docs, bench, items_per_pass=n, block_chars=2000).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_proximity(spark):
     passage = [f"w{k}" for k in range(12)]
     moved = passage[:4] + ["extra"] + passage[4:]
