@@ -2,8 +2,9 @@
 
 A page's text nodes are grouped by their path of tags from the root, with classes and ids as part of a tag.
 Each path gets two ratios, characters and punctuation marks a node; both are smoothed over the paths in page
-order, fused as a product and held against a threshold. Selected paths name the region that the article fills:
-all blocks of that region are its text, short ones too, but for what markup says is something else.
+order, fused as a product and held against a threshold. Selected paths name the regions that the article fills:
+the article or main elements that hold them, where these hold half of the selected text, or else the element
+that holds most of them. All blocks of a region are its text, short ones too, but for what markup says is something else.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ OWN_MARKS = set("ad advert advertisement sponsored promo comment comments reply
 STATES = re.compile(r"(?:has|have|with|without|no|not|is|js|show|hide)-")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: What a region outside article and main elements is made of.
+BOXES = {"div", "section", "article", "main", "body", "td", "center"}
 PUNCTUATION = re.compile(r"[.,;:!?。，…]")
 SMOOTHING = np.array([0.25, 0.5, 0.25])
 
@@ -225,6 +228,11 @@ def _ancestors(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def _outer(node: Node, tag: str) -> Node | None:
+    """The outermost element of that tag around a node."""
+    return next((up for up in reversed(list(_ancestors(node))) if up.tag == tag), None)
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line feeds; empty if the page has none."""
     blocks = [(node, " ".join(text.split())) for node, text in blocks_of(html or "")]
@@ -232,29 +240,32 @@ def main_text(html: str | None) -> str:
     if not blocks:
         return ""
     score, threshold = ratios(blocks)
-    # Every block over the threshold votes for the elements it lies in, the innermost region above all.
-    for wanted in ("article", "main"):
-        votes: dict[Node, float] = {}
-        for node, text in blocks:
-            weight = len(text) * (2.0 if score[node.path] >= threshold else 1.0)
-            outer = None
-            for up in _ancestors(node):
-                if up.tag == wanted:
-                    outer = up
-            if outer is not None:
-                votes[outer] = votes.get(outer, 0) + weight
-        if votes:
-            best = max(votes, key=lambda k: (votes[k], -k.place))
-            return "\n".join(text for node, text in blocks if best in _ancestors(node))
     selected = [(node, text) for node, text in blocks if score[node.path] >= threshold] or blocks
+    total = sum(len(text) for _, text in selected)
+    outer = {node: (_outer(node, "article"), _outer(node, "main")) for node, _ in blocks}
+    chosen = {outer[node][0] for node, _ in selected} | {None}
+    # Articles without a selected block are cards beside the text.
+    plain = [(node, text) for node, text in blocks if outer[node][0] in chosen]
+    for k in range(2):
+        # Elements that hold half of the selected text are its regions, all those that hold any of it.
+        inside = [(node, text) for node, text in selected if outer[node][k]]
+        if inside and 2 * sum(len(text) for _, text in inside) >= total:
+            regions = {outer[node][k] for node, _ in inside}
+            # Text outside belongs to it if its path scores like theirs.
+            least = max(score[node.path] for node, _ in inside) / 2
+            frames = {up for region in regions for up in _ancestors(region)}
+            for node, _ in selected:
+                if not outer[node][k] and score[node.path] >= least:
+                    around = [up for up in _ancestors(node) if up not in frames]
+                    regions.add(next((up for up in around if up.tag in BOXES), around[0] if around else node))
+            return "\n".join(text for node, text in plain if outer[node][k] in regions or any(up in regions for up in _ancestors(node)))
     weights: dict[Node, int] = {}
     for node, text in selected:
         for up in _ancestors(node):
             weights[up] = weights.get(up, 0) + len(text)
-    total = sum(len(text) for _, text in selected)
     region = [up for up in weights if 2 * weights[up] > total and up.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote")]
     best = max(region, key=lambda k: k.place, default=None)
-    return "\n".join(text for node, text in blocks if best is None or best in _ancestors(node))
+    return "\n".join(text for node, text in plain if best is None or best in _ancestors(node))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

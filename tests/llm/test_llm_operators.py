@@ -249,6 +249,28 @@ def test_html(spark):
     assert got[1:] == [(2, "", 0), (3, "", 0), (3, "", 0), (4, "just <text", 10)] and got[0][2] == len(got[0][1])
 
 
+LONG = "A sentence of the body, with marks, that is long enough to be chosen; it says more than cards do, and goes on."
+
+
+def test_html_body_beside_cards():
+    body = [f"{LONG} {k}" for k in range(6)]
+    cards = "".join(f"<article><h3>Card {k}</h3><p>Short, {k}.</p></article>" for k in range(4))
+    page = f"<body><div><h1>T</h1>{''.join(f'<p>{x}</p>' for x in body)}</div>{cards}</body>"
+    assert html_text.main_text(page) == "\n".join(["T", *body])
+    assert html_text.main_text(f"<body><main>{page}</main></body>") == "\n".join(["T", *body])
+
+
+def test_html_article_in_parts():
+    parts = [f"<article id=part{k}><h2>Part {k}</h2><p>{LONG} {k}</p></article>" for k in range(3)]
+    want = "\n".join(f"Part {k}\n{LONG} {k}" for k in range(3))
+    assert html_text.main_text("".join(parts)) == want
+    assert html_text.main_text(parts[0] + parts[1] + parts[2].replace("article", "div")) == want
+
+
+def test_html_one_article_keeps_all_of_it():
+    assert html_text.main_text(f"<div>Home</div><article><h1>T</h1><p>{LONG}</p><div>Short</div></article><div>Terms</div>") == f"T\n{LONG}\nShort"
+
+
 def test_machine_and_identity():
     rows = [(np.array([0, 2]), np.array([1.0, 2.0])), (np.array([1, 2]), np.array([0.5, -1.0]))]
     v = rng.normal(size=(3, 4))
