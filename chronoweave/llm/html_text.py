@@ -4,7 +4,7 @@ A page's text nodes are grouped by their path of tags from the root, with classe
 Each path gets two ratios, characters and punctuation marks a node; both are smoothed over the paths in page
 order, fused as a product and held against a threshold. Selected paths name the regions that the article fills:
 the article or main elements that hold them, where these hold half of the selected text, or else the element
-that holds most of them. All blocks of a region are its text, short ones too, but for what markup says is something else.
+around all of them. All blocks of a region are its text, short ones too, but for what markup says is something else.
 """
 
 from __future__ import annotations
@@ -49,8 +49,10 @@ OWN_MARKS = set("ad advert advertisement sponsored promo comment comments reply
 STATES = re.compile(r"(?:has|have|with|without|no|not|is|js|show|hide)-")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-#: What a region outside article and main elements is made of.
+#: What a region is made of, and what else belongs to one.
 BOXES = {"div", "section", "article", "main", "body", "td", "center"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+SENTENCE = re.compile(r"[.!?。…]")
 PUNCTUATION = re.compile(r"[.,;:!?。，…]")
 SMOOTHING = np.array([0.25, 0.5, 0.25])
 
@@ -233,6 +235,36 @@ def _outer(node: Node, tag: str) -> Node | None:
     return next((up for up in reversed(list(_ancestors(node))) if up.tag == tag), None)
 
 
+def _common(nodes: list[Node]) -> Node:
+    """The innermost element around all nodes."""
+    rest = list(_ancestors(nodes[0]))
+    for node in set(nodes):
+        around = set(_ancestors(node))
+        rest = [up for up in rest if up in around]
+    return rest[0]
+
+
+def _region(selected: list[tuple[Node, str]], blocks: list[tuple[Node, str]]) -> Node:
+    """The element that the selected blocks fill, with titles and short sentences beside them.
+
+    It is the innermost box around all of them, and boxes around that as long as what they add is headings and
+    sentences for the most part.
+    """
+    at = _common([node for node, _ in selected])
+    while at.parent is not None and at.tag not in BOXES:
+        at = at.parent
+    up = at
+    while up.parent is not None:
+        up = up.parent
+        added = [(node, text) for node, text in blocks if up in _ancestors(node) and at not in _ancestors(node)]
+        kin = sum(len(text) for node, text in added if node.tag in HEADINGS or SENTENCE.search(text))
+        if 2 * kin < sum(len(text) for _, text in added):
+            break
+        if added:
+            at = up
+    return at
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line feeds; empty if the page has none."""
     blocks = [(node, " ".join(text.split())) for node, text in blocks_of(html or "")]
@@ -259,13 +291,8 @@ def main_text(html: str | None) -> str:
                     around = [up for up in _ancestors(node) if up not in frames]
                     regions.add(next((up for up in around if up.tag in BOXES), around[0] if around else node))
             return "\n".join(text for node, text in plain if outer[node][k] in regions or any(up in regions for up in _ancestors(node)))
-    weights: dict[Node, int] = {}
-    for node, text in selected:
-        for up in _ancestors(node):
-            weights[up] = weights.get(up, 0) + len(text)
-    region = [up for up in weights if 2 * weights[up] > total and up.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote")]
-    best = max(region, key=lambda k: k.place, default=None)
-    return "\n".join(text for node, text in plain if best is None or best in _ancestors(node))
+    region = _region(selected, plain)
+    return "\n".join(text for node, text in plain if region in _ancestors(node))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

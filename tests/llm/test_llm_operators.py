@@ -271,6 +271,17 @@ def test_html_one_article_keeps_all_of_it():
     assert html_text.main_text(f"<div>Home</div><article><h1>T</h1><p>{LONG}</p><div>Short</div></article><div>Terms</div>") == f"T\n{LONG}\nShort"
 
 
+def test_html_region_around_all_selected_text():
+    items = [f"{LONG} {k}" for k in range(5)]
+    page = f"<body><div>Home</div><div><h1>T</h1><p>Intro, short.</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></div></body>"
+    assert html_text.main_text(page) == "\n".join(["T", "Intro, short.", *items])
+    for few in (2, 1):
+        page = f"<body><div>Home</div><div><h1>T</h1><div class=a>{''.join(f'<p>{x}</p>' for x in items[few:])}</div><div class=b>{''.join(f'<p>{x}</p>' for x in items[:few])}</div></div></body>"
+        assert html_text.main_text(page) == "\n".join(["T", *items[few:], *items[:few]])
+    page = f"<body><div>Home</div><div><h1>T</h1><div><p>{LONG * 9}</p></div><div id=c><p>An end.</p></div></div></body>"
+    assert html_text.main_text(page) == f"T\n{LONG * 9}\nAn end."
+
+
 def test_machine_and_identity():
     rows = [(np.array([0, 2]), np.array([1.0, 2.0])), (np.array([1, 2]), np.array([0.5, -1.0]))]
     v = rng.normal(size=(3, 4))
