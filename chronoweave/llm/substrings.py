@@ -132,6 +132,12 @@ def runs(key: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
     return key[at], p[at], np.add.reduceat(n, at)
 
 
+def _pieces(text: bytes, size: int = CHUNK) -> Iterator[tuple[int, bytes]]:
+    """(start, bytes) of pieces of at most ``size`` bytes, each window of the text in exactly one of them."""
+    for at in range(0, max(len(text) - LENGTH + 1, 1), size - LENGTH + 1):
+        yield at, text[at : at + size] if len(text) > size else text
+
+
 def _grouped(texts: list, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
@@ -146,11 +152,14 @@ def _grouped(texts: list, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        # Pieces are far shorter than PLACE can count.
+        pieces = [(k, at, piece) for k, t in enumerate(batch.column(1).to_pylist()) for at, piece in _pieces((t or "").encode())]
+        owner, begin = (np.array([x[c] for x in pieces], np.int64) for c in (0, 1))
+        texts = [x[2] for x in pieces]
         parts = []
         for s, e in _grouped(texts):
             doc, p, n, seed, block, sides = blocks(texts[s:e])
-            parts.append((seed, block, keys[s:e][doc], p, n, sides))
+            parts.append((seed, block, keys[owner[s:e][doc]], begin[s:e][doc] + p, n, sides))
         if parts:
             yield from _first_here(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -223,9 +232,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = []
         for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            data = np.frombuffer((text or "").encode(), np.uint8)
             p, n, a = (found.values.field(k).to_numpy(zero_copy_only=False) for k in ("p", "n", "a"))
-            wholes = names(data)[2].view(np.int64)
+            wholes = np.concatenate([names(np.frombuffer(piece, np.uint8))[2] for _, piece in _pieces((text or "").encode())]).view(np.int64)
             at = np.repeat(p - np.cumsum(n) + n, n) + np.arange(n.sum())
             parts.append((wholes[at], np.repeat(a, n), np.full(len(at), key, np.int64), at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
         if parts:

@@ -321,6 +321,20 @@ def test_removed_bytes(spark):
         assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept) == (len(data), gone.sum(), spans, kept), i
 
 
+def test_removed_bytes_of_a_long_text(spark):
+    size = (1 << 24) + 5000
+    text = np.random.default_rng(5).integers(97, 123, size, dtype=np.uint8).tobytes().decode()
+    border = substrings.CHUNK - 150
+    docs = spark.createDataFrame([(1, text), (2, "<" + text[-600:-100] + ">"), (3, "(" + text[border : border + 300] + ")")], "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(docs).drop("kept").collect()}
+    assert found == {1: (size, 0, 0), 2: (502, 500, 1), 3: (302, 300, 1)}
+    # The same after pieces of any size.
+    for n in (100, 101, 163, 4096):
+        pieces = list(substrings._pieces(text[:4096].encode(), n))
+        windows = [(at + k, piece[k : k + 100].decode()) for at, piece in pieces for k in range(len(piece) - 99)]
+        assert windows == [(k, text[k : k + 100]) for k in range(4096 - 99)]
+
+
 def test_removed_bytes_of_rows_that_share_an_id(spark):
     texts = [prose(60, 8), prose(60, 8), None, prose(60, 8)]
     got = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in substrings.remove_repeats(frame(spark, texts, [5, 5, None, 9])).collect())
