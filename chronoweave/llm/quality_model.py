@@ -162,10 +162,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([value.astype("<f8").tobytes()], pa.binary())], names=["label", "at", "value"])
 
 
+def _n_chars(docs: DataFrame) -> Column:
+    return F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+
+
 def inputs(docs: DataFrame) -> DataFrame:
     """doc_id, text and n_chars, which is null where the table has none."""
-    n_chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", n_chars.alias("n_chars"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _n_chars(docs).alias("n_chars"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
@@ -203,6 +206,21 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return inputs(docs).mapInArrow(_scores(machine), "doc_id long, score double")
 
 
+def passing(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score at least ``least``, each on its own, with all their columns."""
+    names, text = docs.columns, docs.columns.index("text")
+
+    def run(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [hasher.row(t, n) for t, n in zip(part.column(text).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+                yield part.select(names).filter(pa.array(machine.scores(rows) >= least))
+
+    return docs.withColumn("__n_chars", _n_chars(docs)).mapInArrow(run, docs.schema)
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, train(docs, table(spark, sf_dir, "labels")))
