@@ -33,7 +33,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def windows_of(items: list[tuple[int, str | None]], size: int = WINDOW, term_of: dict[bytes, int] | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(items: list[tuple[int | None, str | None]], size: int = WINDOW, term_of: dict[bytes, int] | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Terms; a row of term numbers for each distinct window, -1 after its end; and which window belongs to which item."""
     term_of = {} if term_of is None else term_of
     found: dict[tuple[int, ...], int] = {}
@@ -42,7 +42,9 @@ def windows_of(items: list[tuple[int, str | None]], size: int = WINDOW, term_of:
         numbers = [term_of.setdefault(w, len(term_of)) for w in words(text)]
         n = min(size, len(numbers))
         for k in range(len(numbers) - n + 1) if n else ():
-            pairs.add((found.setdefault(tuple(numbers[k : k + n]), len(found)), item))
+            row = found.setdefault(tuple(numbers[k : k + n]), len(found))
+            if item is not None:
+                pairs.add((row, item))
     table_ = np.full((len(found), size), -1, np.int32)
     for w, row in found.items():
         table_[row, : len(w)] = w
@@ -213,13 +215,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     n_hit counts document words inside any occurrence of a window; n_near_items counts items of which a window
     occurs with each word at most ``slop`` places off. Null and empty texts have no words and no hits; items
-    without words have no windows. Rows that share a doc_id stay apart. Other columns are ignored.
+    without words have no windows. An item without item_id counts in n_hit and is in no list of items. Rows that share a doc_id stay apart. Other columns are ignored.
 
     The benchmark is a query set and is sent to every task. One of more than ``items_per_pass`` rows is dealt by
     hash into passes of about so many, which search the same index one after the other; their spans and items
     are merged for each block of documents. The distinct words of the whole benchmark are held at once.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = lambda terms: save(rows.mapInArrow(_index(terms, block_chars), INDEX).withColumn("block", F.monotonically_increasing_id()), "postings")[0]
     owned = lambda part: [(r.item_id, r.text) for r in part.collect()]  # noqa: E731  # about items_per_pass rows

@@ -212,6 +212,14 @@ def test_benchmark_of_several_passes(spark, docs):
         assert sorted(map(str, decontaminate.decontaminate(docs, bench, items_per_pass=n, block_chars=2000).collect())) == sorted(map(str, whole.collect()))
 
 
+def test_benchmark_item_without_id(spark):
+    docs = spark.createDataFrame([(1, "a " + PASSAGE), (2, prose(30, 4))], "doc_id long, text string")
+    for more in ([], [(7, "never seen here")]):
+        bench = spark.createDataFrame([(None, PASSAGE), *more], "item_id long, text string")
+        found = by_id(decontaminate.decontaminate(docs, bench, items_per_pass=1))
+        assert (found[1].n_hit, found[1]["items"], found[1].n_near_items, found[2].n_hit) == (60, [], 0, 0)
+
+
 def test_proximity(spark):
     passage = [f"w{k}" for k in range(12)]
     moved = passage[:4] + ["extra"] + passage[4:]
