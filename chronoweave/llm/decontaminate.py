@@ -142,15 +142,18 @@ def _cover(spans: np.ndarray, size: int) -> np.ndarray:
 def _rows(docs: np.ndarray, starts: np.ndarray, spans: np.ndarray, exact: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
     """A block's result from its hit spans and its sorted, distinct (document, item) pairs."""
     n_hit = np.add.reduceat(_cover(spans, int(starts[-1]) + 1).astype(np.int64), starts[:-1])
-    at = np.searchsorted(exact[0], np.arange(len(docs) + 1))
-    items = [exact[1, a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def lists(pairs: np.ndarray) -> pa.Array:
+        at = np.searchsorted(pairs[0], np.arange(len(docs) + 1))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(pairs[1], pa.int64()))
+
     return pa.RecordBatch.from_arrays(
-        [pa.array(docs, pa.int64(), mask=docs == NO_DOC), pa.array(np.diff(starts) - GAP, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(np.bincount(near[0], minlength=len(docs)), pa.int64())],
-        names=["doc_id", "n_words", "n_hit", "items", "n_near_items"],
+        [pa.array(docs, pa.int64(), mask=docs == NO_DOC), pa.array(np.diff(starts) - GAP, pa.int64()), pa.array(n_hit, pa.int64()), lists(exact), pa.array(np.bincount(near[0], minlength=len(docs)), pa.int64()), lists(near)],
+        names=["doc_id", "n_words", "n_hit", "items", "n_near_items", "near_items"],
     )
 
 
-RESULT = "doc_id long, n_words long, n_hit long, items array<long>, n_near_items long"
+RESULT = "doc_id long, n_words long, n_hit long, items array<long>, n_near_items long, near_items array<long>"
 #: A pass's result for one block, where anything is found: spans and pairs as two rows of 64-bit numbers each.
 FOUND = "block long, spans binary, exact binary, near binary"
 
@@ -211,10 +214,10 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, items_per_pass: int = ITEMS_PER_PASS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids, sorted) and n_near_items for each row of (doc_id, text).
+    """doc_id, n_words, n_hit, items (ids, sorted), n_near_items and near_items for each row of (doc_id, text).
 
-    n_hit counts document words inside any occurrence of a window; n_near_items counts items of which a window
-    occurs with each word at most ``slop`` places off. Null and empty texts have no words and no hits; items
+    n_hit counts document words inside any occurrence of a window; near_items are the sorted ids of items of which
+    a window occurs with each word at most ``slop`` places off, and n_near_items is their number. Null and empty texts have no words and no hits; items
     without words have no windows. An item without item_id counts in n_hit and is in no list of items. Rows that share a doc_id stay apart. Other columns are ignored.
 
     The benchmark is a query set and is sent to every task. One of more than ``items_per_pass`` rows is dealt by

@@ -212,6 +212,15 @@ def test_benchmark_of_several_passes(spark, docs):
         assert sorted(map(str, decontaminate.decontaminate(docs, bench, items_per_pass=n, block_chars=2000).collect())) == sorted(map(str, whole.collect()))
 
 
+def test_near_items(spark):
+    passage = [f"w{k}" for k in range(12)]
+    docs = spark.createDataFrame([(1, " ".join([*passage[:4], "extra", *passage[4:]])), (2, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(passage)), (4, " ".join(passage[1:])), (5, "never seen")], "item_id long, text string")
+    for n in (1, 10):
+        found = by_id(decontaminate.decontaminate(docs, bench, items_per_pass=n))
+        assert (found[1]["items"], found[1].near_items, found[2].near_items) == ([], [4, 9], [])
+
+
 def test_benchmark_item_without_id(spark):
     docs = spark.createDataFrame([(1, "a " + PASSAGE), (2, prose(30, 4))], "doc_id long, text string")
     for more in ([], [(7, "never seen here")]):
