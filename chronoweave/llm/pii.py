@@ -1,16 +1,16 @@
 """Personal data: regular expressions propose spans, check digits confirm them, words nearby move their score.
 
-All of it is DataFrame functions. Base kinds are email, ip, card and phone. The method adds IBANs whose
+All of it is built-in SQL functions. Base kinds are email, ip, card and phone. The method adds IBANs whose
 mod-97 check digits hold, and numbers without a plus sign that a word such as "phone" introduces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import count, digest, find, found_if, joined, let, ordered
+from .spans import SPAN, blocks, count, cut, digest, find, found_if, has, joined, let, with_base
 
 KINDS = ("email", "ip", "card", "phone", "iban", "local_phone")
 BASE = KINDS[:4]
@@ -20,8 +20,15 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Characters of each country's IBAN, as its standard's registry has them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG FK PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![0-9+.-])\(?[0-9]{2,5}\)?(?:[\x20.-]?[0-9]{2,5}){1,4}(?![0-9])"
+#: Dates look like local numbers.
+DATE = r"^(?:(?:19|20)[0-9]{2}([.\x20-])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([.\x20-])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}|(?:0[1-9]|1[0-2])([.\x20-])(?:0[1-9]|[12][0-9]|3[01])\3(?:19|20)[0-9]{2})$"
 #: Words that raise a kind's score, and those that lower it, in the text around a span.
 CONTEXT = {
     "email": "mail|contact|write|kontakt|correo|courriel",
@@ -37,67 +44,56 @@ REACH = 40
 THRESHOLD = 0.5
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
 
 
-def mod97(value: Column) -> Column:
+def mod97(value: str) -> str:
     """Remainder of an IBAN's check number; 1 if it holds."""
-    bare = F.upper(F.regexp_replace(value, r"\x20", ""))
-    turned = F.concat(F.substring(bare, 5, 64), F.substring(bare, 1, 4))
+    turned = "concat(substring(bare, 5, 64), substring(bare, 1, 4))"
+    step = "(r, c) -> if(ascii(c) <= 57, (r * 10 + ascii(c) - 48) % 97, (r * 100 + ascii(c) - 55) % 97)"
+    return let(f"replace({value}, ' ', '')", "bare", f"aggregate(filter(split({turned}, ''), c -> c <> ''), 0, {step})")
 
-    def step(r: Column, c: Column) -> Column:
-        code = F.ascii(c)
-        return F.when(code <= 57, (r * 10 + code - 48) % 97).otherwise((r * 100 + code - 55) % 97)
 
-    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
+def octets(value: str) -> str:
+    """All parts of an address are at most 255, leading zeros aside."""
+    return rf"forall(split(regexp_replace({value}, '(^|\\.)0+(?=[0-9])', '$1'), '\\.'), p -> length(p) < 3 or length(p) = 3 and p <= '255')"
 
 
-def small(part: Column) -> Column:
-    """A number without leading zeros is at most 255."""
-    return (F.length(part) < 3) | (F.length(part) == 3) & (part <= "255")
-
-
-def base_spans(text: Column) -> Column:
+def base_spans(text: str) -> str:
     """All base spans, unordered."""
-    email = found_if(text.contains("@"), find(text, EMAIL, "email", 0))
-    ip = found_if(
-        text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
-        F.filter(find(text, IP, "ip", 1), lambda s: F.forall(F.split(F.regexp_replace(s["hit"], r"(^|\.)0+(?=[0-9])", "$1"), r"\."), small)),
+    card = lambda h: let(digits(h), "d", "length(d) between 14 and 19 and luhn_check(d)")
+    spans = (
+        found_if(f"contains({text}, '@')", find(text, EMAIL, "email", 0)),
+        found_if(has(text, r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), find(text, IP, "ip", 1, octets)),
+        found_if(has(text, r"[0-9](?:[\x20-]?[0-9]){13}"), find(text, CARD, "card", 2, card)),
+        found_if(f"contains({text}, '+')", find(text, PHONE, "phone", 3, lambda h: f"length({digits(h)}) between 10 and 15")),
     )
-    card = found_if(
-        text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
-        F.filter(find(text, CARD, "card", 2), lambda s: let(digits(s["hit"]), lambda d: F.length(d).between(14, 19) & F.call_function("luhn_check", d))),
-    )
-    phone = found_if(text.contains("+"), F.filter(find(text, PHONE, "phone", 3), lambda s: F.length(digits(s["hit"])).between(10, 15)))
-    return F.concat(email, ip, card, phone)
+    return f"concat({', '.join(spans)})"
 
 
-def method_spans(text: Column) -> Column:
-    """IBANs that hold, and proposals of local phone numbers."""
-    iban = found_if(text.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), F.filter(find(text, IBAN, "iban", 4), lambda s: mod97(s["hit"]) == 1))
-    local = found_if(
-        text.rlike(f"(?i)(?:{CONTEXT['local_phone']})") & text.rlike("[0-9][0-9 ().-]{5}"),
-        F.filter(find(text, LOCAL_PHONE, "local_phone", 5), lambda s: F.length(digits(s["hit"])).between(7, 12)),
-    )
-    return F.concat(iban, local)
+def method_spans(text: str) -> str:
+    """IBANs that hold, and proposals of local phone numbers, unordered."""
+    iban = found_if(has(text, r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), find(text, IBAN, "iban", 4, lambda h: f"{mod97(h)} = 1"))
+    near = f"{has(text, f'(?i)(?:{CONTEXT["local_phone"]})')} and {has(text, '[0-9][0-9 ().-]{5}')}"
+    local = found_if(near, find(text, LOCAL_PHONE, "local_phone", 5, lambda h: f"length({digits(h)}) between 7 and 12 and not {has(h, DATE)}"))
+    return f"concat({iban}, {local})"
 
 
-def scored(text: Column, spans: Column) -> Column:
-    """Ordered spans with the score that the words around give."""
+SCORED = SPAN.replace("kind:string", "kind:string,score:double")
 
-    def score(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)), F.least(s["start"], F.lit(REACH)))
-        after = F.substring(text, s["end"] + 1, F.lit(REACH))
-        near = F.concat_ws(" ", before, after)
-        value, helped = F.lit(0.0), F.lit(False)
-        for kind in KINDS:
-            value = F.when(s["kind"] == kind, F.lit(PRIOR[kind])).otherwise(value)
-            helped = F.when(s["kind"] == kind, near.rlike(rf"(?i)\b(?:{CONTEXT[kind]})\b")).otherwise(helped)
-        value = value + F.when(helped, 0.35).otherwise(0.0) - F.when(near.rlike(rf"(?i)\b(?:{AGAINST})\b"), 0.25).otherwise(0.0)
-        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.round(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)), 4).alias("score"))
 
-    return F.transform(spans, score)
+def scored(text: str, spans: str) -> str:
+    """Spans by start, then kind, with the score that the words around give."""
+    whens = lambda value: "case s.kind " + " ".join(f"when '{k}' then {value(k)}" for k in KINDS) + " end"
+    prior = whens(lambda k: f"{PRIOR[k]}D")
+    helped = whens(lambda k: has("near", rf"(?i)\b(?:{CONTEXT[k]})\b"))
+    against = has("near", rf"(?i)\b(?:{AGAINST})\b")
+    score = f"round(greatest(least({prior} + if({helped}, 0.35D, 0D) - if({against}, 0.25D, 0D), 1D), 0D), 4)"
+    near = f"concat_ws(' ', {cut('parts', f'greatest(s.start - {REACH}, 0)', 's.start')}, {cut('parts', 's.`end`', f's.`end` + {REACH}')})"
+    row = f"named_struct('start', s.start, 'rank', s.rank, 'end', s.`end`, 'kind', s.kind, 'score', {let(near, 'near', score)})"
+    some = let(blocks(text), "parts", f"array_sort(transform(found, s -> {row}))")
+    return let(spans, "found", f"if(size(found) > 0, {some}, cast(array() as {SCORED}))")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -105,17 +101,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     Base spans stay whatever their score; spans that the method adds are kept from ``THRESHOLD`` on, and only
     where they overlap no base span. A null text counts as empty and has no spans. Other columns pass through;
-    a column named pii is replaced.
+    a column named pii is replaced. A text with n spans takes n log n steps beside its length.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = scored(text, ordered(base_spans(text)))
-    more = F.filter(scored(text, ordered(method_spans(text))), lambda s: s["score"] >= THRESHOLD)
-    both = let(base, lambda b: F.array_sort(F.concat(b, F.filter(more, lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))))))
-    return docs.withColumn("pii", both)
+    text = "coalesce(text, '')"
+    more = f"filter({scored(text, method_spans(text))}, s -> s.score >= {THRESHOLD})"
+    return docs.withColumn("pii", F.expr(with_base(scored(text, base_spans(text)), more)))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
-    base = F.filter("pii", lambda s: s["rank"] < len(BASE))
-    kinds = [count(F.col("pii"), k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *kinds, digest(base).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))
+    base = f"filter(pii, s -> s.rank < {len(BASE)})"
+    kinds = [f"{count('pii', k)} as n_{k}" for k in BASE]
+    return found.selectExpr("doc_id", *kinds, f"{digest(base)} as base_sha256", f"{joined('pii')} as spans", "coalesce(array_max(transform(pii, s -> s.score)), 0D) as top_score")
