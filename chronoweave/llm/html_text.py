@@ -2,14 +2,19 @@
 
 A page's text nodes are grouped by their path of tags from the root, with classes and ids as part of a tag.
 Each path gets two ratios, characters and punctuation marks a node; both are smoothed over the paths in page
-order, fused as a product and held against a threshold. Selected paths name the regions that the article fills:
+order, fused as a product and held against a threshold. What names and roles of elements say is a third factor: a
+path that runs through a menu, a form or the like scores zero. Selected paths name the regions that the article fills:
 the article or main elements that hold them, where these hold half of the selected text, or else the element
-around all of them. All blocks of a region are its text, short ones too, but for what markup says is something else.
+around all of them. All blocks of a region whose path doesn't score zero are its text, short ones too.
+
+Every step takes time in proportion to the page, however deep its elements lie in each other.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -58,16 +63,27 @@ SMOOTHING = np.array([0.25, 0.5, 0.25])
 
 
 class Node:
-    """An element: ``strict`` ones are never article text, ``marked`` ones are named like something else, unless an article lies within."""
+    """An element: ``strict`` ones are never article text, ``marked`` ones are named like something else, unless an article lies within.
+
+    ``place`` counts elements in page order and ``last`` is the place of the last one within. ``article`` and ``main``
+    are the outermost such elements around it, itself included, ``block`` is the innermost that parts blocks, and
+    ``aside`` says whether an element from there on isn't article text. ``path`` is its number once the page is read.
+    """
 
-    __slots__ = ("tag", "path", "strict", "marked", "parent", "place")
+    __slots__ = ("tag", "name", "names", "strict", "marked", "parent", "place", "last", "article", "main", "block", "aside", "framed", "never", "path")
 
-    def __init__(self, tag: str, path: str, strict: bool, marked: bool, parent: Node | None, place: int):
-        self.tag, self.path, self.strict, self.marked, self.parent, self.place = tag, path, strict, marked, parent, place
+    def __init__(self, tag: str, name: str, names: str, strict: bool, marked: bool, parent: Node | None, place: int):
+        self.tag, self.name, self.names, self.strict, self.marked, self.parent, self.place, self.last = tag, name, names, strict, marked, parent, place, place
+        self.article = parent.article if parent and parent.article else self if tag == "article" else None
+        self.main = parent.main if parent and parent.main else self if tag == "main" else None
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.aside = False if tag in BLOCK else strict or marked or bool(parent and parent.aside)
+        self.framed = self.never = False
+        self.path = 0
 
-    @property
-    def never(self) -> bool:
-        return any(n.strict or n.marked for n in _ancestors(self))
+    def around(self, other: Node) -> bool:
+        """Whether the other lies in this element, or is it."""
+        return self.place <= other.place <= self.last
 
 
 def marks_of(names: str) -> set[str]:
@@ -89,8 +105,8 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def _opened(tag: str, rest: str, parent: Node, place: int) -> Node:
-    name, strict, marked = tag, tag in NEVER, False
-    inside = any(up.tag in ("article", "main") for up in _ancestors(parent))
+    name, names, strict, marked = tag, "", tag in NEVER, False
+    inside = bool(parent.article or parent.main)
     # A page's header isn't the article; an article's own header, with its title, is.
     strict = strict or tag == "header" and not inside
     if rest and not rest.isspace():
@@ -105,16 +121,20 @@ def _opened(tag: str, rest: str, parent: Node, place: int) -> Node:
             marked = bool(marks & OWN_MARKS if tag in ("article", "main") else marks)
             strict = strict or got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden") == "true" or bool(HIDDEN.search(got.get("style", "")))
     if tag in ("article", "main") and not marked:
-        for up in _ancestors(parent):
-            if up.marked and up.tag not in ("article", "main") and not marks_of(up.path.rpartition("/")[2].replace(".", " ")) & OWN_MARKS:
+        up = parent
+        while up is not None and not up.framed:
+            if up.marked and up.tag not in ("article", "main") and not marks_of(up.names) & OWN_MARKS:
                 up.marked = False  # a frame around the article, whatever else it frames
-    return Node(tag, f"{parent.path}/{name}", strict, marked, parent, place)
+                up.aside = up.strict and up.tag not in BLOCK
+            up.framed = True
+            up = up.parent
+    return Node(tag, name, names, strict, marked, parent, place)
 
 
-def blocks_of(html: str) -> list[tuple[Node, str]]:
-    """The page's blocks of text in order: the innermost element that parts blocks, and the text, its white space still as it was."""
-    root = Node("", "", False, False, None, 0)
-    stack, out, pieces, owner, place, breaks = [root], [], [], None, 0, 0
+def blocks_of(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """The page's blocks of text in order: the innermost element that parts blocks, and the text, its white space still as it was; and all elements."""
+    root = Node("", "", "", False, False, None, 0)
+    nodes, stack, opened, out, pieces, owner, breaks = [root], [root], Counter(), [], [], None, 0
 
     def flush() -> None:
         nonlocal owner
@@ -128,13 +148,16 @@ def blocks_of(html: str) -> list[tuple[Node, str]]:
         if not raw:
             return
         if owner is None:
-            owner = next((n for n in reversed(stack) if n.tag in BLOCK), root)
-        for n in reversed(stack):
-            if n.tag in BLOCK:
-                break
-            if n.strict or n.marked:
-                return  # an inline element that is no article text
-        pieces.append(unescape(raw) if "&" in raw else raw)
+            owner = stack[-1].block
+        if not stack[-1].aside:  # else an inline element that is no article text
+            pieces.append(unescape(raw) if "&" in raw else raw)
+
+    def close(k: int) -> None:
+        """Close all elements from the k-th open one on."""
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+            node.last = len(nodes) - 1
+        del stack[k:]
 
     at, n = 0, len(html)
     while at < n:
@@ -157,24 +180,26 @@ def blocks_of(html: str) -> list[tuple[Node, str]]:
             continue
         tag = tag.lower()
         if closing:
-            if tag == "br" or tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "br" or tag == "p" and not opened["p"]:
                 text(" ")
                 continue
+            if not opened[tag]:
+                continue  # a stray end
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     if any(x.tag in BLOCK for x in stack[k:]):
                         flush()
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BOUND and tag not in BLOCK:
                     break  # a stray inline end
             continue
         if tag in BLOCK:
             flush()
-            if tag in ENDS_P:
+            if tag in ENDS_P and opened["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].tag in BOUND:
                         break
@@ -182,7 +207,7 @@ def blocks_of(html: str) -> list[tuple[Node, str]]:
             if ended:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in ended:
-                        del stack[k:]
+                        close(k)
                     elif stack[k].tag in BOUND:
                         break
         elif tag == "br":
@@ -193,23 +218,37 @@ def blocks_of(html: str) -> list[tuple[Node, str]]:
                 text(" ")
         if tag in VOID:
             continue
-        place += 1
-        node = _opened(tag, rest, stack[-1], place)
+        node = _opened(tag, rest, stack[-1], len(nodes))
+        nodes.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
             continue
         if not rest.endswith("/") or tag in BLOCK:
             stack.append(node)
+            opened[tag] += 1
     flush()
-    return out
+    close(1)
+    root.last = len(nodes) - 1
+    return out, nodes
 
 
-def ratios(blocks: list[tuple[Node, str]]) -> tuple[dict[str, float], float]:
-    """Fused score of each path, and the threshold: the deviation of the scores."""
-    order: dict[str, int] = {}
+def number_paths(nodes: list[Node]) -> None:
+    """Elements of one path get one number; whether it runs through what is never article text is part of it."""
+    known: dict[tuple[int, str, bool], int] = {}
+    for node in nodes:
+        up = node.parent
+        node.never = node.strict or node.marked or bool(up and up.never)
+        node.path = known.setdefault((up.path if up else -1, node.name, node.never), len(known))
+
+
+def ratios(blocks: list[tuple[Node, str]]) -> tuple[dict[int, float], float]:
+    """Fused score of each path, zero of those that are never article text, and the threshold: the deviation of the others' scores."""
+    order: dict[int, int] = {}
     sums = []
     for node, text in blocks:
+        if node.never:
+            continue
         k = order.setdefault(node.path, len(order))
         if k == len(sums):
             sums.append([0, 0, 0])
@@ -217,31 +256,22 @@ def ratios(blocks: list[tuple[Node, str]]) -> tuple[dict[str, float], float]:
         s[0] += 1
         s[1] += len(text)
         s[2] += len(PUNCTUATION.findall(text))
+    out = dict.fromkeys((node.path for node, _ in blocks), 0.0)
+    if not sums:
+        return out, 0.0
     s = np.array(sums, float)
     characters, marks = s[:, 1] / s[:, 0], s[:, 2] / s[:, 0]
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), SMOOTHING, "valid")
     fused = np.sqrt(smooth(characters) * (1 + smooth(marks)) * s[:, 1])
-    return dict(zip(order, fused.tolist(), strict=True)), float(fused.std())
-
-
-def _ancestors(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _outer(node: Node, tag: str) -> Node | None:
-    """The outermost element of that tag around a node."""
-    return next((up for up in reversed(list(_ancestors(node))) if up.tag == tag), None)
+    return out | dict(zip(order, fused.tolist(), strict=True)), float(fused.std())
 
 
 def _common(nodes: list[Node]) -> Node:
     """The innermost element around all nodes."""
-    rest = list(_ancestors(nodes[0]))
-    for node in set(nodes):
-        around = set(_ancestors(node))
-        rest = [up for up in rest if up in around]
-    return rest[0]
+    at, low, high = nodes[0], min(n.place for n in nodes), max(n.place for n in nodes)
+    while not at.place <= low <= high <= at.last:
+        at = at.parent
+    return at
 
 
 def _region(selected: list[tuple[Node, str]], blocks: list[tuple[Node, str]]) -> Node:
@@ -253,12 +283,15 @@ def _region(selected: list[tuple[Node, str]], blocks: list[tuple[Node, str]]) ->
     at = _common([node for node, _ in selected])
     while at.parent is not None and at.tag not in BOXES:
         at = at.parent
+    rows = sorted((node.place, len(text), len(text) if node.tag in HEADINGS or SENTENCE.search(text) else 0) for node, text in blocks)
+    places = [place for place, _, _ in rows]
+    all_, kin = (np.concatenate([[0], np.cumsum([r[k] for r in rows])]) for k in (1, 2))
+    within = lambda node, sums: int(sums[bisect_right(places, node.last)] - sums[bisect_left(places, node.place)])
     up = at
     while up.parent is not None:
         up = up.parent
-        added = [(node, text) for node, text in blocks if up in _ancestors(node) and at not in _ancestors(node)]
-        kin = sum(len(text) for node, text in added if node.tag in HEADINGS or SENTENCE.search(text))
-        if 2 * kin < sum(len(text) for _, text in added):
+        added = within(up, all_) - within(at, all_)
+        if 2 * (within(up, kin) - within(at, kin)) < added:
             break
         if added:
             at = up
@@ -267,32 +300,47 @@ def _region(selected: list[tuple[Node, str]], blocks: list[tuple[Node, str]]) ->
 
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line feeds; empty if the page has none."""
-    blocks = [(node, " ".join(text.split())) for node, text in blocks_of(html or "")]
-    blocks = [(node, text) for node, text in blocks if text and not node.never]
+    blocks, nodes = blocks_of(html or "")
+    number_paths(nodes)
+    blocks = [(node, " ".join(text.split())) for node, text in blocks]
+    blocks = [(node, text) for node, text in blocks if text]
     if not blocks:
         return ""
     score, threshold = ratios(blocks)
+    blocks = [(node, text) for node, text in blocks if score[node.path] > 0]
     selected = [(node, text) for node, text in blocks if score[node.path] >= threshold] or blocks
+    if not selected:
+        return ""
     total = sum(len(text) for _, text in selected)
-    outer = {node: (_outer(node, "article"), _outer(node, "main")) for node, _ in blocks}
-    chosen = {outer[node][0] for node, _ in selected} | {None}
     # Articles without a selected block are cards beside the text.
-    plain = [(node, text) for node, text in blocks if outer[node][0] in chosen]
-    for k in range(2):
+    chosen = {node.article for node, _ in selected} | {None}
+    plain = [(node, text) for node, text in blocks if node.article in chosen]
+    for kind in ("article", "main"):
         # Elements that hold half of the selected text are its regions, all those that hold any of it.
-        inside = [(node, text) for node, text in selected if outer[node][k]]
+        of = {node: getattr(node, kind) for node, _ in plain}
+        inside = [(node, text) for node, text in selected if of[node]]
         if inside and 2 * sum(len(text) for _, text in inside) >= total:
-            regions = {outer[node][k] for node, _ in inside}
+            regions = {of[node] for node, _ in inside}
             # Text outside belongs to it if its path scores like theirs.
             least = max(score[node.path] for node, _ in inside) / 2
-            frames = {up for region in regions for up in _ancestors(region)}
+            frames = set()
+            for region in regions:
+                while region is not None and region not in frames:
+                    frames.add(region)
+                    region = region.parent
             for node, _ in selected:
-                if not outer[node][k] and score[node.path] >= least:
-                    around = [up for up in _ancestors(node) if up not in frames]
-                    regions.add(next((up for up in around if up.tag in BOXES), around[0] if around else node))
-            return "\n".join(text for node, text in plain if outer[node][k] in regions or any(up in regions for up in _ancestors(node)))
+                if not of[node] and score[node.path] >= least:
+                    up = node
+                    while up not in frames and up.tag not in BOXES:
+                        up = up.parent
+                    regions.add(node if up in frames else up)
+            held: set[Node] = set()
+            for node in nodes:
+                if node in regions or node.parent in held:
+                    held.add(node)
+            return "\n".join(text for node, text in plain if node in held)
     region = _region(selected, plain)
-    return "\n".join(text for node, text in plain if region in _ancestors(node))
+    return "\n".join(text for node, text in plain if region.around(node))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

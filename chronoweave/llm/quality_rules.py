@@ -18,7 +18,7 @@ MAX_REPEAT = 50
 MAX_SYMBOL_RATIO = 0.5
 #: A host is rejected when its shrunk rate, less two posterior deviations, is over this.
 MAX_RATE = 0.5
-#: Hosts whose verdicts are broadcast; more are joined by shuffle.
+#: Hosts whose verdicts are broadcast at most; of more hosts, those with this share of all documents at least.
 BROADCAST_HOSTS = 50_000
 
 
@@ -82,7 +82,7 @@ def host_verdicts(measured: DataFrame) -> tuple[DataFrame, dict]:
     """
     failed = F.col("base_failed") | (F.col("n_symbols") > MAX_SYMBOL_RATIO * F.col("n_words"))
     hosts = measured.where("source is not null").groupBy("source").agg(F.count("*").alias("docs"), F.sum(failed.cast("long")).alias("failures"))
-    m = hosts.agg(F.count("*").alias("n"), F.avg(F.col("failures") / F.col("docs")).alias("mean"), F.var_pop(F.col("failures") / F.col("docs")).alias("var"), F.avg("docs").alias("docs"), F.avg(1 / F.col("docs")).alias("inverse")).first()
+    m = hosts.agg(F.count("*").alias("n"), F.sum("docs").alias("total"), F.avg(F.col("failures") / F.col("docs")).alias("mean"), F.var_pop(F.col("failures") / F.col("docs")).alias("var"), F.avg("docs").alias("docs"), F.avg(1 / F.col("docs")).alias("inverse")).first()
     mean = min(max(m["mean"] or 0.0, 1e-3), 1 - 1e-3)
     # What sampling within hosts adds to the spread of rates isn't spread among hosts.
     spread = max((m["var"] or 0.0) - mean * (1 - mean) * (m["inverse"] or 0.0), 0.0)
@@ -92,10 +92,27 @@ def host_verdicts(measured: DataFrame) -> tuple[DataFrame, dict]:
     total = F.col("docs") + F.lit(a + b)
     rate = (F.col("failures") + F.lit(a)) / total
     low = rate - 2 * F.sqrt(rate * (1 - rate) / (total + 1))
-    return hosts.select("source", "docs", "failures", rate.alias("host_rate"), (low > MAX_RATE).alias("host_rejected")), {"hosts": m["n"], "a": a, "b": b}
+    return hosts.select("source", "docs", "failures", rate.alias("host_rate"), (low > MAX_RATE).alias("host_rejected")), {"hosts": m["n"], "documents": m["total"] or 0, "a": a, "b": b}
 
 
-def apply_rules(docs: DataFrame) -> DataFrame:
+def with_verdicts(measured: DataFrame, verdicts: DataFrame, prior: dict, limit: int = BROADCAST_HOSTS) -> DataFrame:
+    """Rows of ``measured`` with the verdict of their host, null without one.
+
+    Up to ``limit`` hosts are broadcast. Of more, only those are that hold one in ``limit`` of all documents, which
+    are no more than that; the others, none of which is large then, meet their documents by shuffle. Documents
+    without source take no part in it.
+    """
+    columns = ["source", "host_rate", "host_rejected"]
+    if prior["hosts"] <= limit:
+        return measured.join(F.broadcast(verdicts.select(*columns)), "source", "left")
+    kept, _ = save(verdicts.withColumn("large", F.col("docs") * limit >= prior["documents"]), "hosts")
+    large = F.broadcast(kept.where("large").select(*columns, "large"))
+    met = measured.join(large, "source", "left")
+    small = met.where("source is not null and large is null").drop("large", *columns[1:]).join(kept.where("not large").select(*columns), "source", "left")
+    return met.where("source is null or large").drop("large").unionByName(small)
+
+
+def apply_rules(docs: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """doc_id, the counts, base_failed, host_rate and kept for each (doc_id, text, source) row.
 
     A document is kept if no base rule fails it and its host isn't rejected; one without source has no host to
@@ -103,10 +120,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     """
     measured, _ = save(measure(docs), "rules")
     hosts, prior = host_verdicts(measured)
-    verdicts = hosts.select("source", "host_rate", "host_rejected")
-    if prior["hosts"] <= BROADCAST_HOSTS:
-        verdicts = F.broadcast(verdicts)
-    joined = measured.join(verdicts, "source", "left")
+    joined = with_verdicts(measured, hosts, prior, broadcast_hosts)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"), F.round(F.coalesce("host_rate", F.lit(0.0)), 6).alias("host_rate"))
 
 

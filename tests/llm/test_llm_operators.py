@@ -176,6 +176,15 @@ def test_bad_host_is_rejected_and_small_ones_are_shrunk(spark):
     assert not found[0].kept and found[1000].kept and found[5001].kept and not found[5000].kept
 
 
+def test_hosts_by_broadcast_and_by_shuffle(spark):
+    good, bad = prose(80, 5), "x"
+    rows = [(i, bad if i % 9 else good, "big") for i in range(300)] + [(1000 + i, good if i % 7 else bad, f"h{i % 90}") for i in range(400)] + [(2000 + i, good, None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(quality_rules.apply_rules(docs).collect())
+    for limit in (0, 1, 4, 60):
+        assert sorted(quality_rules.apply_rules(docs, broadcast_hosts=limit).collect()) == want
+
+
 def fold(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
