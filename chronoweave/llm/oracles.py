@@ -28,7 +28,17 @@ wanted AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') A
 places AS (SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM sized))),
 hits AS (SELECT doc_id, item_id, n, i FROM places JOIN wanted USING (n, g)),
 words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id),
+-- Proximity: from a place within two of where the window's rarest word says, every word stands within two of its place.
+tokens AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+counted AS (SELECT w, count(*) AS c FROM tokens GROUP BY w),
+parts AS (SELECT DISTINCT item_id, n, g, j, split_part(g, ' ', j) AS w FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM wanted)),
+rarest AS (SELECT item_id, n, g, min_by(j, (c, j)) AS j, min_by(w, (c, j)) AS w FROM (SELECT p.*, coalesce(c, 0) AS c FROM parts p LEFT JOIN counted USING (w)) GROUP BY ALL),
+tried AS (SELECT DISTINCT doc_id, item_id, n, g, i - j + shift AS place FROM tokens JOIN rarest USING (w), (SELECT unnest(range(-2, 3)) AS shift)),
+close AS (SELECT DISTINCT doc_id, item_id FROM (SELECT t.*, string_split(g, ' ') AS gs, ws FROM tried t JOIN d USING (doc_id))
+  WHERE len(list_filter(range(1, n + 1), lambda j: list_contains(ws[greatest(place + j - 2, 1) : greatest(place + j + 2, 0)], gs[j]))) = n),
+near AS (SELECT doc_id, count(*) AS n_near, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS near_ids FROM close WHERE item_id IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
