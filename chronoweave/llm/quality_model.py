@@ -112,29 +112,34 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, rank: int = RANK, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, rank: int = RANK, epochs: int = EPOCHS, seed: int = SEED, batch: int = 128) -> Machine:
     """Adam on the logistic loss with weight decay. Classes weigh alike up to a factor of two. No rows: a machine that says 0.5."""
     n_stats = len(STATS)
     size = buckets + n_stats
     rng = np.random.default_rng(seed)
     if not rows:
         return Machine(0.0, np.zeros(size), np.zeros((size, rank)), np.zeros(n_stats), np.ones(n_stats))
-    x = np.zeros((len(rows), size), np.float32)
-    for k, (at, value) in enumerate(rows):
-        x[k, at] = value
-    mean, scale = x[:, buckets:].mean(axis=0), np.maximum(x[:, buckets:].std(axis=0), 1e-3)
-    x[:, buckets:] = np.clip((x[:, buckets:] - mean) / scale, -4, 4)
+    # Each row ends with its statistics; only a batch is ever dense.
+    stats = np.array([value[-n_stats:] for _, value in rows], np.float32)
+    mean, scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)
+    stats = np.clip((stats - mean) / scale, -4, 4)
+    dense = np.zeros((batch, size), np.float32)
     y = labels.astype(np.float32)
     share = float(np.clip(y.mean(), 0.02, 0.98))
     weight = np.where(y > 0, 1.0, min(share / (1 - share), 2.0)).astype(np.float32)
     params = [np.array([np.log(share / (1 - share))], np.float32), np.zeros(size, np.float32), rng.normal(0, 0.02, (size, rank)).astype(np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    step, batch = 0, 128
+    step = 0
     for epoch in range(epochs):
-        order, rate = rng.permutation(len(x)), 0.02 * (1 - epoch / (epochs + 1))
-        for a in range(0, len(x), batch):
+        order, rate = rng.permutation(len(rows)), 0.02 * (1 - epoch / (epochs + 1))
+        for a in range(0, len(rows), batch):
             pick = order[a : a + batch]
-            b = x[pick]
+            b = dense[: len(pick)]
+            b[:, :buckets] = 0
+            for row, k in zip(b, pick.tolist(), strict=True):
+                at, value = rows[k]
+                row[at[:-n_stats]] = value[:-n_stats]
+            b[:, buckets:] = stats[pick]
             b2 = b * b
             w0, w, v = params
             total = b @ v
@@ -157,9 +162,9 @@ def held_out(doc_id: Column) -> Column:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
-        for label, text, n_chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, label, text, n_chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             at, value = hasher.row(text, n_chars)
-            yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([value.astype("<f8").tobytes()], pa.binary())], names=["label", "at", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([label], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([value.astype("<f8").tobytes()], pa.binary())], names=["doc_id", "label", "at", "value"])
 
 
 def _n_chars(docs: DataFrame) -> Column:
@@ -174,7 +179,8 @@ def inputs(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
     """Fit on at most ``max_rows`` labelled rows that aren't held out, those whose doc_id has the least hash.
 
-    Rows without label or text are passed over; of several labels of a document the greatest counts.
+    Rows without label or text are passed over; of several labels of a document the greatest counts, and of several
+    rows of a doc_id the one with the least features: what reaches the driver is ``max_rows`` rows at most.
     """
     sample = (
         labels.where("doc_id is not null and quality is not null")
@@ -185,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
         .limit(max_rows)
     )
     rows = inputs(docs).where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text", "n_chars")
-    found = rows.select("label", "text", "n_chars").mapInArrow(_features, "label int, at binary, value binary").collect()  # bounded by max_rows
+    features = rows.mapInArrow(_features, "doc_id long, label int, at binary, value binary")
+    found = features.groupBy("doc_id").agg(F.min(F.struct("label", "at", "value")).alias("row")).select("row.*").collect()  # bounded by max_rows
     found.sort(key=lambda r: (r.label, bytes(r["at"]), bytes(r["value"])))
     return fit([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f8").copy()) for r in found], np.array([r.label for r in found]))
 
