@@ -11,6 +11,9 @@ compared by the next doubling: a window reaches 32 bytes beyond its position's s
 left, so where neither 64-byte name comes twice its windows end, too. Rank two: the windows left are named at
 100 bytes, the threshold, and sorted again. Equal windows choose equal positions, so no repeat is missed.
 Names are pairs of 64-bit hashes; those at 64 bytes are short ones, as they only rule windows out.
+
+A 32-byte name that very many blocks hold, as of a licence line, is found by a sample beforehand. Its blocks are dealt
+by the names of whole blocks, and where they differ their sides are counted by an aggregation, so no name is one task.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .common import save, table, width
 LENGTH = 100
 SEED_LENGTH = 32
 CHUNK = 1 << 18
+#: Blocks of one name that a task is to hold at most, about; the documents of the sample, or a 1024th of all; names found by it at most.
+HOT_ROWS, SAMPLE, HOT_NAMES = 1 << 15, 1 << 12, 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xD6E8FEB86659FD93)
 PLACE = np.uint64((1 << 24) - 1)
@@ -99,14 +104,14 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 SCHEMA = "kind int, a long, b long, key long, p long, n long, c long"
-TO_RANK, REPEATED, UNDECIDED = 0, 1, 2
+TO_RANK, REPEATED, UNDECIDED, HOT = 0, 1, 2, 3
 
 
 def _batch(kind, a, b, key, p, n, c) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(kind, len(key)).astype(np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (a, b, key, p, n, c))], names=["kind", "a", "b", "key", "p", "n", "c"])
 
 
-def _first_here(a, b, key, p, n, c) -> Iterator[pa.RecordBatch]:
+def _first_here(a, b, key, p, n, c, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Rows of one name meet first in their batch: only the earliest is ranked, the others are repeats for certain.
 
     Repeats that follow each other become one run, and get a name that spreads them over the partitions.
@@ -115,7 +120,8 @@ def _first_here(a, b, key, p, n, c) -> Iterator[pa.RecordBatch]:
     again = np.zeros(len(a), bool)
     again[1:] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
     once, more = order[~again], order[again]
-    yield _batch(TO_RANK, *(x[once] for x in (a, b, key, p, n, c)))
+    kind = TO_RANK if hot is None else np.where(np.isin(a[once], hot), HOT, TO_RANK)
+    yield _batch(kind, *(x[once] for x in (a, b, key, p, n, c)))
     if len(more):
         key, p, n = runs(key[more], p[more], n[more])
         zero = np.zeros(len(key), np.int64)
@@ -149,19 +155,22 @@ def _grouped(texts: list, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        # Pieces are far shorter than PLACE can count.
-        pieces = [(k, at, piece) for k, t in enumerate(batch.column(1).to_pylist()) for at, piece in _pieces((t or "").encode())]
-        owner, begin = (np.array([x[c] for x in pieces], np.int64) for c in (0, 1))
-        texts = [x[2] for x in pieces]
-        parts = []
-        for s, e in _grouped(texts):
-            doc, p, n, seed, block, sides = blocks(texts[s:e])
-            parts.append((seed, block, keys[owner[s:e][doc]], begin[s:e][doc] + p, n, sides))
-        if parts:
-            yield from _first_here(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+def _blocks(hot: np.ndarray | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            # Pieces are far shorter than PLACE can count.
+            pieces = [(k, at, piece) for k, t in enumerate(batch.column(1).to_pylist()) for at, piece in _pieces((t or "").encode())]
+            owner, begin = (np.array([x[c] for x in pieces], np.int64) for c in (0, 1))
+            texts = [x[2] for x in pieces]
+            parts = []
+            for s, e in _grouped(texts):
+                doc, p, n, seed, block, sides = blocks(texts[s:e])
+                parts.append((seed, block, keys[owner[s:e][doc]], begin[s:e][doc] + p, n, sides))
+            if parts:
+                yield from _first_here(*(np.concatenate(x) for x in zip(*parts, strict=True)), hot)
+
+    return run
 
 
 def open_windows(group, a, b, key, p, n, c) -> tuple[np.ndarray, ...]:
@@ -187,10 +196,10 @@ def open_windows(group, a, b, key, p, n, c) -> tuple[np.ndarray, ...]:
 
 
 def _rank(undecided: bool):
-    """Over rows sorted by (a, b, key, p): all but the first of a name (a, b) are repeated; where blocks of one ``a`` differ, windows of the firsts stay undecided."""
+    """Over rows sorted by (a, b, key, p): all but the first of a name (a, b) are repeated; where blocks of one ``a`` differ, windows of the firsts stay undecided, or the firsts of hot names whole."""
 
     def ranked(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b, key, p, n, c = rows
+        kind, a, b, key, p, n, c = rows
         fresh_a = np.ones(len(a), bool)
         fresh_a[1:] = a[1:] != a[:-1]
         fresh = fresh_a.copy()
@@ -201,28 +210,32 @@ def _rank(undecided: bool):
             zero = np.zeros(len(k), np.int64)
             yield _batch(REPEATED, zero, zero, k, at, many, zero)
         if undecided:
-            yield _batch(UNDECIDED, *open_windows(np.cumsum(fresh_a)[fresh], *(x[fresh] for x in rows)))
+            for some, was_hot in ((kind != HOT, False), (kind == HOT, True)):
+                firsts = [x[fresh & some] for x in rows[1:]]
+                if len(firsts[0]):
+                    yield _batch(HOT, *firsts) if was_hot else _batch(UNDECIDED, *open_windows(np.cumsum(fresh_a)[fresh & some], *firsts))
 
     def run(batches):
-        held = None
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            kind = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7)]
-            known = kind == REPEATED
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            known = rows[0] == REPEATED
             if known.any():
-                yield _batch(REPEATED, *(x[known] for x in rows))
+                yield _batch(REPEATED, *(x[known] for x in rows[1:]))
                 rows = [x[~known] for x in rows]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            # The last name may go on in the next batch.
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            # The last name may go on in the next batch: a name of blocks where no ``a`` has to be looked at whole.
+            same = rows[1] == rows[1][-1]
+            if not undecided or rows[0][-1] == HOT:
+                same &= rows[2] == rows[2][-1]
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if last:
-                yield from ranked([x[:last] for x in rows])
-            held = [x[last:].copy() for x in rows]
-        if held is not None:
-            yield from ranked(held)
+                yield from ranked([np.concatenate(x) for x in zip(*held, [x[:last] for x in rows], strict=True)])
+                held = []
+            held.append([x[last:].copy() for x in rows])
+        if held:
+            yield from ranked([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
@@ -280,17 +293,49 @@ def numbered(docs: DataFrame) -> DataFrame:
     return save(rows.orderBy("doc_id", "text").withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "text"), "numbered")[0]
 
 
-def repeated_runs(rows: DataFrame, partitions: int) -> tuple[DataFrame, list[str]]:
+def hot_names(rows: DataFrame, hot_rows: int = HOT_ROWS) -> np.ndarray | None:
+    """32-byte names that about ``hot_rows`` blocks or more hold, sorted, by a sample of the documents; None of fewer documents.
+
+    Which names it finds changes the dealing of blocks, not the result.
+    """
+    n = rows.count()
+    if n < hot_rows:
+        return None
+    rate = min(1.0, max(SAMPLE / n, 1 / 1024))
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < round(rate * (1 << 20))).select("key", "text")
+    counted = some.mapInArrow(_blocks(), SCHEMA).where(F.col("kind") == TO_RANK).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= max(8, round(hot_rows * rate)))
+    found = counted.orderBy(F.desc("n"), "a").limit(HOT_NAMES).select("a").collect()
+    return np.sort(np.array([r.a for r in found], np.int64)) if found else None
+
+
+def _open_by_counts(first: DataFrame) -> DataFrame:
+    """Windows of the first blocks of hot names that another block may hold, too.
+
+    A window that begins at least 32 bytes before its position holds the 32 bytes left of it, any other one reaches 32
+    bytes beyond the position's string: that side's name must come twice.
+    """
+    q, end = F.expr("p + (c & 127)"), F.col("p") + F.col("n") - 1
+    left = F.struct(F.lit(0).alias("side"), F.expr("shiftrightunsigned(c, 35) & 268435455").alias("name"), F.col("p").alias("first"), F.least(end, q - SEED_LENGTH).alias("last"))
+    right = F.struct(F.lit(1).alias("side"), F.expr("shiftrightunsigned(c, 7) & 268435455").alias("name"), F.greatest(F.col("p"), q - SEED_LENGTH + 1).alias("first"), end.alias("last"))
+    sides = first.where(F.col("kind") == HOT).select("key", "a", F.explode(F.array(left, right)).alias("s")).select("key", "a", "s.*").where("last >= first")
+    twice = sides.groupBy("a", "side", "name").count().where("count > 1").drop("count")
+    return sides.join(twice, ["a", "side", "name"], "left_semi").select("key", F.col("first").alias("p"), F.expr("last - first + 1").alias("n"), "a")
+
+
+def repeated_runs(rows: DataFrame, partitions: int, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, list[str]]:
     """(key, p, n): n windows from p on that start earlier, too; and the tables it reads."""
-    ranked = rows.select("key", "text").mapInArrow(_blocks, SCHEMA).repartition(partitions, "a").sortWithinPartitions("a", "b", "key", "p").mapInArrow(_rank(True), SCHEMA)
+    hot = hot_names(rows, hot_rows)
+    route = F.col("a") if hot is None else F.when(F.col("kind") == HOT, F.xxhash64("a", "b")).otherwise(F.col("a"))
+    ranked = rows.select("key", "text").mapInArrow(_blocks(hot), SCHEMA).repartition(partitions, route).sortWithinPartitions("a", "b", "key", "p").mapInArrow(_rank(True), SCHEMA)
     first, first_at = save(ranked, "rank32")
-    open_ = _lists(first.where(F.col("kind") == UNDECIDED), "p", "n", "a")
+    undecided = first.where(F.col("kind") == UNDECIDED).select("key", "p", "n", "a")
+    open_ = _lists(undecided if hot is None else undecided.unionByName(_open_by_counts(first)), "p", "n", "a")
     windows = rows.select("key", "text").join(open_.hint("shuffle_hash"), "key").select("key", "text", "found").mapInArrow(_windows, SCHEMA)
-    second, second_at = save(windows.repartition(partitions, "a").sortWithinPartitions("a", "b", "key", "p").mapInArrow(_rank(False), SCHEMA), "rank100")
+    second, second_at = save(windows.repartition(partitions, "a", "b").sortWithinPartitions("a", "b", "key", "p").mapInArrow(_rank(False), SCHEMA), "rank100")
     return first.where(F.col("kind") == REPEATED).select("key", "p", "n").unionByName(second.where(F.col("kind") == REPEATED).select("key", "p", "n")), [first_at, second_at]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each (doc_id, text) row.
 
     Texts are UTF-8 bytes; null ones are empty. Texts under 100 bytes keep all. Rows that share a doc_id count
@@ -298,7 +343,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     rows = numbered(docs)
-    runs, _ = repeated_runs(rows, width(docs, 2))
+    runs, _ = repeated_runs(rows, width(docs, 2), hot_rows)
     found = rows.join(_lists(runs, "p", "n").hint("shuffle_hash"), "key", "left").select("doc_id", "text", "found")
     return found.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
