@@ -2,7 +2,8 @@
 
 Terms are token ids. Document frequencies and the mean length come from the whole corpus; the index itself
 is built for each shard: documents are dealt by range of a min-hash of their token pairs, so copies and near
-texts meet, and every shard has about as many documents however large a group of copies is.
+texts meet, and every shard has about as many documents however large a group of copies is. What fills whole windows
+of a long document needs no neighbours and is cut off beforehand; its rest is dealt, so no row is longer than a window.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save, table, width
-from .tokens import END_ID, encoder, vocabulary_path
+from .tokens import END_ID, VOCABULARY, encoder
 
 WINDOW = 4096
 K1, B = 1.2, 0.75
-QUERY_TERMS = 12
-NEIGHBOURS = 48
-SHARD_TOKENS = 1 << 21
+#: A shard ends with the document that reaches either bound.
+SHARD_TOKENS, SHARD_DOCS = 1 << 21, 1 << 14
+#: Sequence ids of whole windows of long documents start here.
+WHOLE = 1 << 62
 
 
 def _signature(ids: np.ndarray) -> int:
@@ -36,14 +38,19 @@ def _signature(ids: np.ndarray) -> int:
     return int((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).min())
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, sequence = encoder(path), WHOLE | TaskContext.get().partitionId() << 40
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 raw = [x + end for x in enc.encode(batch.column(1).slice(at, 512).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array([_signature(np.frombuffer(x, enc.dtype)) for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "sig", "ids"])
+                ids = [np.frombuffer(x, enc.dtype) for x in raw]
+                crcs = [[zlib.crc32(x[k : k + window].astype("<u4").tobytes()) for k in range(0, len(x) - window + 1, window)] for x in ids]
+                firsts = sequence + np.cumsum([0, *map(len, crcs)])
+                sequence = int(firsts[-1])
+                columns = [batch.column(0).slice(at, 512), pa.array([_signature(x) for x in ids], pa.int64()), pa.array(raw, pa.binary()), pa.array(crcs, pa.list_(pa.int64())), pa.array(firsts[:-1], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sig", "ids", "crcs", "sequence"])
 
     return run
 
@@ -65,19 +72,15 @@ def _statistics(size: int, dtype: str):
 
 
 class Index:
-    """BM25 postings of one shard, by term, and the query terms of each document."""
+    """BM25 postings of one shard, by term, and the terms of each document."""
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, counts, owner, self.queries = [], [], [], []
-        for k, ids in enumerate(texts):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            owner.append(np.full(len(t), k, np.int32))
-            worth = idf[t] * np.log1p(c)
-            self.queries.append(t[np.argsort(-worth, kind="stable")[:QUERY_TERMS]])
-        term, tf, doc = np.concatenate(terms), np.concatenate(counts), np.concatenate(owner)
-        norm = K1 * (1 - B + B * np.array([len(x) for x in texts]) / mean)
+        found = [np.unique(ids, return_counts=True) for ids in texts]
+        self.queries = [t for t, _ in found]
+        term, tf = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in self.queries])
+        self.size = np.array([len(x) for x in texts])
+        norm = K1 * (1 - B + B * self.size / mean)
         order = np.argsort(term, kind="stable")
         term, tf, self.doc = term[order], tf[order], doc[order]
         self.impact = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
@@ -85,16 +88,28 @@ class Index:
         self.begin = np.append(self.begin, len(term))
         self.unused = np.ones(len(texts), bool)
 
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused documents by falling score, ties by place."""
-        score = np.zeros(len(self.unused), np.float32)
-        for k in np.searchsorted(self.terms, self.queries[seed]):
-            a, b = self.begin[k], self.begin[k + 1]
-            score[self.doc[a:b]] += self.impact[a:b]
-        score[~self.unused] = 0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if len(score) > NEIGHBOURS else np.arange(len(score))
-        best = np.sort(best[score[best] > 0])
-        return best[np.argsort(-score[best], kind="stable")].tolist()
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents for all distinct terms of the seed, each of weight one."""
+        k = np.searchsorted(self.terms, self.queries[seed])
+        n = self.begin[k + 1] - self.begin[k]
+        at = np.repeat(self.begin[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.doc[at], self.impact[at], len(self.unused))
+
+    def neighbours(self, seed: int, room: int) -> list[int]:
+        """Unused documents by falling score, ties by place, as many as fill ``room`` ids, or all that share a term with the seed."""
+        score = self.scores(seed)
+        near = np.flatnonzero(self.unused & (score > 0))
+        some = 64
+        while True:
+            best = near
+            if some < len(near):
+                least = np.partition(score[near], len(near) - some)[len(near) - some]
+                best = near[score[near] >= least]
+            best = best[np.argsort(-score[best], kind="stable")]
+            filled = np.cumsum(self.size[best])
+            if len(best) == len(near) or filled[-1] >= room:
+                return best[: int(np.searchsorted(filled, room)) + 1].tolist()
+            some *= 8
 
 
 class Packer:
@@ -103,11 +118,12 @@ class Packer:
     def __init__(self, window: int, first_sequence: int):
         self.window, self.sequence, self.fill, self.open, self.rows = window, first_sequence, 0, [], []
 
-    def add(self, doc, ids: np.ndarray) -> None:
+    def add(self, doc, ids: np.ndarray, before: int = 0) -> None:
+        """Take a document's ids, ``before`` of which are packed already."""
         at = 0
         while at < len(ids):
             n = min(len(ids) - at, self.window - self.fill)
-            self.open.append((doc, at, ids[at : at + n], len(ids)))
+            self.open.append((doc, before + at, ids[at : at + n], before + len(ids)))
             at, self.fill = at + n, self.fill + n
             if self.fill == self.window:
                 self._close(self.window)
@@ -138,12 +154,12 @@ PIECES = ", ".join(f"{x} long" for x in PIECE_NAMES)
 
 
 def pack_shard(docs: list, texts: list[np.ndarray], idf: np.ndarray, mean: float, packer: Packer) -> None:
-    """Pack one shard. The document that a window cuts seeds the next one."""
+    """Pack one shard of (doc_id, ids before) pairs and their ids. The document that a window cuts seeds the next one."""
     index, at, seed = Index(texts, idf, mean), 0, None
 
     def use(k: int) -> None:
         index.unused[k] = False
-        packer.add(docs[k], texts[k])
+        packer.add(docs[k][0], texts[k], docs[k][1])
 
     while True:
         if seed is None:
@@ -154,7 +170,7 @@ def pack_shard(docs: list, texts: list[np.ndarray], idf: np.ndarray, mean: float
             seed = at
             use(seed)
         sequence, last = packer.sequence, seed
-        for k in index.neighbours(seed) if packer.fill else []:
+        for k in index.neighbours(seed, packer.window - packer.fill) if packer.fill else []:
             use(k)
             last = k
             if packer.sequence != sequence:
@@ -163,16 +179,16 @@ def pack_shard(docs: list, texts: list[np.ndarray], idf: np.ndarray, mean: float
         seed = last if packer.fill and packer.sequence != sequence else None
 
 
-def _pack(idf: np.ndarray, mean: float, dtype: str, window: int, shard_tokens: int):
+def _pack(idf: np.ndarray, mean: float, dtype: str, window: int, shard_tokens: int, shard_docs: int):
     def run(batches):
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         docs, texts, n = [], [], 0
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(doc)
+            for doc, before, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                docs.append((doc, before))
                 texts.append(np.frombuffer(raw.as_py(), dtype))
                 n += len(texts[-1])
-                if n >= shard_tokens:
+                if n >= shard_tokens or len(docs) >= shard_docs:
                     pack_shard(docs, texts, idf, mean, packer)
                     docs, texts, n = [], [], 0
                     yield packer.take()
@@ -184,17 +200,18 @@ def _pack(idf: np.ndarray, mean: float, dtype: str, window: int, shard_tokens: i
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` ids.
 
     Every id of every document, and its end id, lies in exactly one piece. A null or empty text is its end id.
     Rows that share a doc_id are packed each on its own; a null doc_id stays null. Other columns are ignored.
     Sequences are full, or as long as a power of two at the end of a partition: none needs padding.
-    Sequence ids are unique, not dense. A shard holds ``shard_tokens`` ids or one longer document.
+    Sequence ids are unique, not dense. A shard ends with the document that reaches ``shard_tokens`` ids or
+    ``shard_docs`` documents; a document that fills whole windows takes part with what is left of it.
     """
-    path = tokenizer or vocabulary_path()
+    path = tokenizer or VOCABULARY
     size, dtype = encoder(path).size, encoder(path).dtype.str
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(path, end_id), "doc_id long, sig long, ids binary")
+    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(path, end_id, window), "doc_id long, sig long, ids binary, crcs array<long>, sequence long")
     tokens, _ = save(encoded, "pack-tokens")
     rows = tokens.select("ids").mapInArrow(_statistics(size, dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary
     n = {r.id: r.n for r in rows}
@@ -203,8 +220,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, wi
     seen = np.zeros(size)
     seen[list(n)] = list(n.values())
     idf = np.log1p((total - seen + 0.5) / (seen + 0.5))
-    dealt = tokens.repartitionByRange(width(docs), "sig", "doc_id").sortWithinPartitions("sig", "doc_id", "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(_pack(idf, mean, dtype, window, shard_tokens), PIECES)
+    width_, total_ = np.dtype(dtype).itemsize, F.expr(f"bigint(octet_length(ids) div {np.dtype(dtype).itemsize})")
+    whole = tokens.where("size(crcs) > 0").select("doc_id", total_.alias("doc_tokens"), "sequence", F.posexplode("crcs").alias("k", "ids_crc32"))
+    whole = whole.select("doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    before = F.size("crcs").cast("long") * window
+    rest = tokens.select("doc_id", "sig", before.alias("before"), F.expr(f"substring(ids, int(size(crcs) * {window * width_} + 1), {window * width_})").alias("ids")).where("octet_length(ids) > 0")
+    dealt = rest.repartitionByRange(width(docs), "sig", "doc_id").sortWithinPartitions("sig", "doc_id", "ids")
+    packed = dealt.select("doc_id", "before", "ids").mapInArrow(_pack(idf, mean, dtype, window, shard_tokens, shard_docs), PIECES)
+    return whole.select(*PIECE_NAMES).unionByName(packed)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, save, table, width
-from .tokens import END_ID, encoder, vocabulary_path
+from .tokens import END_ID, VOCABULARY, encoder
 
 MAGIC = b"CWT1"
 HEADER = "<4sIIQIQ"  # magic, shard, block, ids before it in the shard, documents, ids
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
     that their texts fix. Rows without doc_id come first. Other columns are ignored. Texts of any length are
     encoded whole; a block holds at least one document, so the longest text bounds memory.
     """
-    spark, path = docs.sparkSession, tokenizer or vocabulary_path()
+    spark, path = docs.sparkSession, tokenizer or VOCABULARY
     size, dtype = encoder(path).size, encoder(path).dtype.str
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = source.repartitionByRange(width(docs, 2), "doc_id").sortWithinPartitions("doc_id", "text")

@@ -15,7 +15,11 @@ END_ID = 2
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
-def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where this machine has a public vocabulary."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -87,6 +91,6 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One for each Python worker."""
-    return WordEncoder(path)
+def encoder(name: str) -> WordEncoder:
+    """One for each Python worker, of a public vocabulary by its name, which each machine resolves, or of a file by its path."""
+    return WordEncoder(name if os.sep in name else vocabulary_path(name))
