@@ -37,10 +37,28 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def save(df: DataFrame, tag: str, partition_by: str | None = None, codec: str = "zstd") -> tuple[DataFrame, str]:
+#: Tables written within each scratch() that is open.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep_all: bool = False):
+    """Tables that save() writes within are deleted at the end, but for those that were to be kept."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        paths = _written.pop()
+        if not keep_all:
+            drop(spark, *paths)
+
+
+def save(df: DataFrame, tag: str, partition_by: str | None = None, codec: str = "zstd", keep: bool = False) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder; returns what reads it, and its path. This cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _written and not keep:
+        _written[-1].append(path)
     writer = df.write.option("compression", codec)
     with shuffles_freed(spark):
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
