@@ -107,7 +107,7 @@ def merge_same_label(intervals: DataFrame) -> DataFrame:
 
 
 def smooth(intervals: DataFrame) -> DataFrame:
-    """(entity, day, first_ms, last_ms, label, location) with inner transits of a day taken for activity, and neighbours of one label joined, gaps or not.
+    """(entity, day, first_ms, last_ms, label, location) with inner transits of a day taken for active rows, and neighbours of one label joined, gaps or not.
 
     A day with up to two transits keeps them. Among joined active rows a location is kept from the first that has
     one; a newcomer's other location wins if it alone lasts longer than all that was joined before it.

@@ -1,8 +1,10 @@
 """The day timeline: five streams drive a state machine per device and day, which yields active, break and transit rows.
 
 A timeline under construction is a list of marks (start, label): each mark lasts to the next one, the last
-to an end of its own. Rewriting earlier rows is then dropping or relabelling marks. The machine runs once per
-(entity, day) group; what happened before a day reaches it as initial state, so days are independent.
+to an end of its own. Rewriting earlier rows is then dropping or relabelling marks. The machine is a fold over a
+day's sorted events, written in SQL, so days are folded where their events are and no Python worker runs; ``Day`` is
+the same machine event by event, for streams. What happened before a day reaches it as initial state, so days are
+independent.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ class Day:
         del self.starts[-1], self.labels[-1]
 
     def wake(self, t: int) -> None:
-        """Activity at t: rows of rest younger than ten minutes are taken back, but for a day's first row, which is relabelled."""
+        """Presence at t: rows of rest younger than ten minutes are taken back, but for a day's first row, which is relabelled."""
         if self.labels and self.labels[-1] == ACTIVE:
             return
         while len(self.labels) > 1 and self.labels[-1] != ACTIVE and t - self.starts[-1] < MIN_PERIOD:
@@ -49,7 +51,7 @@ class Day:
             self.mark(t, ACTIVE)
 
     def doze(self, t: int) -> None:
-        """After thirty minutes without input, activity ended with the last one."""
+        """After thirty minutes without input, presence ended with the last one."""
         if self.labels and self.labels[-1] == ACTIVE and self.last_input is not None and t - self.last_input >= SOFT_CLOSE:
             self.mark(self.last_input, BREAK)
             self.end = t
@@ -110,16 +112,66 @@ class Day:
 SCHEMA = "entity string, day date, first_ms long, last_ms long, label string"
 
 
-def _run(pdf):
-    import pandas as pd
+def let(value: str, name: str, body: str) -> str:
+    """SQL text: body, in which ``name`` is value, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    head = pdf[pdf.src_ord < 0].iloc[0]
-    known = lambda x: x is not None and x == x
-    day = Day(int(head.time_ms), head.lit is True or head.lit == True, head.locked is True or head.locked == True, head.network if known(head.network) else None, int(head.last_input) if known(head.last_input) else None)  # noqa: E712
-    events = pdf[pdf.src_ord >= 0].sort_values(["time_ms", "src_ord", "seq"], kind="stable")
-    for t, source, kind in zip(events.time_ms.tolist(), events.src_ord.tolist(), events.kind.tolist(), strict=True):
-        day.take(t, source, kind if known(kind) else None)
-    return pd.DataFrame([(head.entity, head.day, *r) for r in day.rows()], columns=["entity", "day", "first_ms", "last_ms", "label"])
+
+MARKS = "array<struct<t:bigint,label:string>>"
+
+
+def _mark(t: str, label: str) -> str:
+    return f"array(named_struct('t', {t}, 'label', '{label}'))"
+
+
+def _woken(marks: str) -> str:
+    """Marks and end after presence at e.t: all rests younger than ten minutes are taken back down to the last active mark, but for the day's first mark."""
+    kept = f"greatest(1, array_max(transform(m, (x, i) -> if(x.label = 'active' or e.t - x.t >= {MIN_PERIOD}, i + 1, 0))))"
+    on = f"if(top.label = 'active' or e.t - top.t < {MIN_PERIOD}, concat(slice(m, 1, n - 1), {_mark('top.t', ACTIVE)}), concat(slice(m, 1, n), {_mark('e.t', ACTIVE)}))"
+    back = let(kept, "n", let("element_at(m, n)", "top", on))
+    return let(marks, "m", f"case when size(m) = 0 then {_mark('e.t', ACTIVE)} when element_at(m, -1).label = 'active' then m else {back} end")
+
+
+def _moved() -> str:
+    """Marks after another network at e.t: a transit since the event before, or in place of the last row, then a break."""
+    since = f"concat(if(s.before - top.t < {MIN_PERIOD} and n > 1, slice(s.marks, 1, n - 1), s.marks), {_mark('s.before', TRANSIT)})"
+    instead = f"if(n > 1 and top.t - get(s.marks, n - 2).t < {MIN_PERIOD}, concat(slice(s.marks, 1, n - 2), {_mark('get(s.marks, n - 2).t', TRANSIT)}), concat(slice(s.marks, 1, n - 1), {_mark('top.t', TRANSIT)}))"
+    moved = let("size(s.marks)", "n", let("get(s.marks, n - 1)", "top", f"case when n = 0 then s.marks when top.t < s.before and s.before < e.t then {since} else {instead} end"))
+    return f"concat({moved}, {_mark('e.t', BREAK)})"
+
+
+def _step() -> str:
+    """The state after event e in state s."""
+    touched, focus = f"e.src_ord in ({INPUT}, {FOCUS})", f"e.src_ord = {FOCUS}"
+    dozes = f"size(s.marks) > 0 and element_at(s.marks, -1).label = 'active' and coalesce(e.t - s.last_input >= {SOFT_CLOSE}, false)"
+    dozed = f"if({dozes}, concat(s.marks, {_mark('s.last_input', BREAK)}), s.marks)"
+    wakes = f"({focus} or s.lit and not s.locked)"
+    rests = f"(e.src_ord = {BACKLIGHT} and e.kind = 'off' or e.src_ord = {SCREEN} and e.kind = 'lock')"
+    other = f"(e.src_ord = {WIFI} and coalesce(e.kind <> s.network, false))"
+    marks = f"case when {rests} then concat(s.marks, {_mark('e.t', BREAK)}) when {touched} and {wakes} then {_woken(dozed)} when {touched} then {dozed} when {other} then {_moved()} else s.marks end"
+    # The end moves with each new last mark, and when a rest is taken back; presence that goes on leaves it.
+    ends = f"{rests} or {other} or {touched} and ({dozes} or {wakes} and (size(s.marks) = 0 or element_at(s.marks, -1).label <> 'active'))"
+    return f"""named_struct('marks', {marks}, 'until', if({ends}, e.t, s.until), 'before', e.t,
+      'lit', if(e.src_ord = {BACKLIGHT}, e.kind = 'on', s.lit), 'locked', case when e.src_ord = {SCREEN} then e.kind = 'lock' when {focus} then false else s.locked end,
+      'network', if(e.src_ord = {WIFI}, e.kind, s.network), 'last_input', if({touched}, e.t, s.last_input))"""
+
+
+def _rows() -> str:
+    """Rows of the last state s: those with a length; breaks at the end are left out, neighbours of one label are one."""
+    kept = "coalesce(array_max(transform(s.marks, (x, i) -> if(x.label = 'break', 0, i + 1))), 0)"
+    end = "case when n < size(s.marks) then get(s.marks, n).t when element_at(s.marks, -1).label = 'active' then greatest(s.until, s.before, element_at(s.marks, -1).t) else s.until end"
+    parts = "transform(slice(s.marks, 1, n), (x, i) -> named_struct('first_ms', x.t, 'last_ms', if(i + 1 < n, get(s.marks, i + 1).t, until), 'label', x.label))"
+    joins = "size(a) > 0 and element_at(a, -1).label = x.label and x.first_ms <= element_at(a, -1).last_ms"
+    joined = "concat(slice(a, 1, size(a) - 1), array(named_struct('first_ms', element_at(a, -1).first_ms, 'last_ms', greatest(element_at(a, -1).last_ms, x.last_ms), 'label', x.label)))"
+    rows = f"aggregate(filter({parts}, x -> x.last_ms > x.first_ms), cast(array() as array<struct<first_ms:bigint,last_ms:bigint,label:string>>), (a, x) -> if({joins}, {joined}, concat(a, array(x))))"
+    return let(kept, "n", f"if(n = 0, cast(array() as array<struct<first_ms:bigint,last_ms:bigint,label:string>>), {let(end, 'until', rows)})")
+
+
+def fold_days(days: DataFrame) -> DataFrame:
+    """(entity, day, first_ms, last_ms, label) of rows (entity, day, start_ms, lit, locked, network, last_input, events); events (t, src_ord, seq, kind) come in their order."""
+    zero = f"named_struct('marks', cast(array() as {MARKS}), 'until', start_ms, 'before', start_ms, 'lit', lit, 'locked', locked, 'network', network, 'last_input', last_input)"
+    rows = f"aggregate(events, {zero}, (s, e) -> {_step()}, s -> {_rows()})"
+    return days.select("entity", "day", F.expr(f"inline({rows})"))
 
 
 def merge_focus(periods: DataFrame, points: DataFrame) -> DataFrame:
@@ -176,10 +228,8 @@ def timeline(days: DataFrame, backlight: DataFrame, screen: DataFrame, inputs: D
     edge = F.col("time_ms") == day_start(day)
     dealt = events.where(F.col("time_ms") <= now).withColumn("day", F.explode(F.when(edge, F.array(day, F.date_sub(day, 1))).otherwise(F.array(day))))
     dealt = dealt.join(days.select("entity", "day"), ["entity", "day"], "left_semi")
-    none = {"lit": "boolean", "locked": "boolean", "network": "string", "last_input": "long"}
-    rows = dealt.select("entity", "day", "time_ms", "src_ord", "seq", "kind", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    heads = state.select("entity", "day", F.col("start_ms").alias("time_ms"), F.lit(-1).alias("src_ord"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("kind"), *none)
-    return rows.unionByName(heads).groupBy("entity", "day").applyInPandas(_run, SCHEMA)
+    told = dealt.groupBy("entity", "day").agg(F.array_sort(F.collect_list(F.struct(F.col("time_ms").alias("t"), "src_ord", "seq", "kind"))).alias("events"))
+    return fold_days(told.join(state, ["entity", "day"]))
 
 
 def fallback(main: DataFrame, spare: DataFrame, lit_days: DataFrame) -> DataFrame:

@@ -16,13 +16,13 @@ def active_ms() -> Column:
 
 
 def day_report(intervals: DataFrame) -> DataFrame:
-    """Rows of each day from its first to its last activity, with the day's active total."""
+    """Rows of each day from the first to the last active one, with the day's active total."""
     day = Window.partitionBy("entity", "day")
     return trim_to_active(intervals).withColumn("total_ms", active_ms().over(day))
 
 
 def month_report(intervals: DataFrame, dominant: DataFrame, today: Column) -> DataFrame:
-    """A row for each day up to ``today`` that has activity: bounds, total, locations (the dominant one first) and breaks."""
+    """A row for each day up to ``today`` that has active rows: bounds, total, locations (the dominant one first) and breaks."""
     rows = intervals.where((F.col("day") <= today) & (F.col("last_ms") > F.col("first_ms"))).join(dominant.select("entity", "dominant_id"), "entity", "left")
     active = F.col("label") == "active"
     place = F.when(active & F.col("location").isNotNull(), F.struct((~F.col("location").eqNullSafe(F.col("dominant_id"))).alias("other"), F.col("location").alias("id")))
@@ -81,7 +81,7 @@ def render_day(report: DataFrame, colour: bool = False) -> str:
     named = "symbols" in report.columns
     rows = printable(report).withColumn("total_text", duration(F.col("total_ms"))).orderBy("first_ms").collect()
     if not rows:
-        return "No activity."
+        return "No presence."
     lines = [f"{rows[0].weekday} {rows[0].day}"]
     for r in rows:
         text = f"{r.from_text}–{r.to_text}  {r.length_text}  {r.label:<8}{''.join(r.symbols) if named else getattr(r, 'location', None) or ''}".rstrip()
@@ -96,4 +96,4 @@ def render_month(report: DataFrame, colour: bool = False) -> str:
     for r in rows:
         text = f"{r.weekday} {r.day}  {r.from_text}–{r.to_text}  {r.total_text}  {len(r.breaks)} breaks  {''.join(r.symbols) if named else ' '.join(r.locations)}".rstrip()
         lines.append(f"{COLOURS['active']}{text}\x1b[0m" if colour else text)
-    return "\n".join([*lines, *(legend(rows) if named else [])]) or "No activity."
+    return "\n".join([*lines, *(legend(rows) if named else [])]) or "No presence."

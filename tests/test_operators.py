@@ -343,7 +343,7 @@ def test_reports(spark):
     assert text[1].endswith("active  ✓") and text[3].endswith("active  ²") and text[-2:] == ["✓  Main office", "²  Other office"]
     text = report.render_month(report.with_places(month, dom, other)).splitlines()
     assert text[0].endswith("1 breaks  ✓²") and text[1:] == ["✓  Main office", "²  Other office"]
-    assert report.render_month(report.with_places(month.limit(0), dom, other)) == "No activity."
+    assert report.render_month(report.with_places(month.limit(0), dom, other)) == "No presence."
     assert report.render_day(out.withColumn("total_ms", F.lit(30_000).cast("long"))).endswith("Active 00h01")
     assert "  00h01  1 breaks" in report.render_month(month.withColumn("total_ms", F.lit(30_000).cast("long")))
     others = F.array(*[F.lit(f"o{k}") for k in range(10)])

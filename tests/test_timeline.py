@@ -127,6 +127,29 @@ def test_random_days_against_segments():
         assert day.rows() == plain(events, *start)
 
 
+def test_folded_days_equal_the_machine(spark):
+    rng = random.Random(7)
+    kinds = {B: ["on", "off"], S: ["lock", "unlock"], I: ["kbd", "app_launch"], Fo: [None], W: ["a", "b", None]}
+    rows, want = [], {}
+    for k in range(3000):
+        events, t = [], START
+        for n in range(rng.randint(0, 40)):
+            t += rng.choice([0, 1, 3, 8, 9, 10, 12, 30, 31]) * M
+            s = rng.randrange(5)
+            events.append((t, s, n, rng.choice(kinds[s])))
+        state = rng.random() < 0.5, rng.random() < 0.3, rng.choice([None, "a"]), rng.choice([None, START - M, START - 40 * M])
+        day = tl.Day(START, *state)
+        for t, s, _, kind in events:
+            day.take(t, s, kind)
+        want[str(k)] = day.rows()
+        rows.append((str(k), D, START, *state, events))
+    days = frame(spark, rows, "entity string, day date, start_ms long, lit boolean, locked boolean, network string, last_input long, events array<struct<t:long,src_ord:int,seq:long,kind:string>>")
+    got = {k: [] for k in want}
+    for r in tl.fold_days(days.repartition(4)).collect():
+        got[r.entity].append((r.first_ms, r.last_ms, r.label))
+    assert got == want
+
+
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
