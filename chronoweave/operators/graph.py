@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..constants import CLUSTER_THRESHOLD, DAY, HALF_LIFE_DAYS
 from ..tables import saved
 
+#: Pairs of one group that are joined up by one task at most.
+WITHIN = 100_000
+
 
 def ordered_pair(a: Column, b: Column) -> tuple[Column, Column]:
     """Signals as an unordered pair: places (duet:) before networks, then by name."""
@@ -43,13 +46,17 @@ def components(edges: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame
         now = after.select(*keys, "node", "root")
 
 
-def components_within(edges: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
-    """components() for graphs that stay small within ``by``: a device's distinct pairs of signals, however many events made them.
+def joined_up(edges: DataFrame, by: tuple[str, ...] = ("entity",), within: int = WITHIN) -> DataFrame:
+    """components(), in one pass where the distinct pairs of every group ``by`` are counted to be no more than ``within``.
 
-    Pairs are made distinct before they are dealt, and each group is joined up in one pass.
+    A device's networks and places are few, however many events showed them; groups that are larger go the long way.
     """
     keys = list(by)
-    nodes = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*keys).schema.fields)
+    pairs = saved(edges.select(*keys, "a", "b").distinct(), "pairs")
+    most = pairs.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if most > within:
+        return components(pairs, by)
+    nodes = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields)
 
     def run(pdf):
         import pandas as pd
@@ -71,7 +78,7 @@ def components_within(edges: DataFrame, by: tuple[str, ...] = ("entity",)) -> Da
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return edges.select(*keys, "a", "b").distinct().groupBy(*keys).applyInPandas(run, f"{nodes}, node string, root string")
+    return pairs.groupBy(*keys).applyInPandas(run, f"{nodes}, node string, root string")
 
 
 def representatives(labels: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
@@ -83,12 +90,12 @@ def representatives(labels: DataFrame, by: tuple[str, ...] = ("entity",)) -> Dat
 def clusters(co: DataFrame, now: int, threshold: float = CLUSTER_THRESHOLD, by: tuple[str, ...] = ("entity",)) -> DataFrame:
     """Clusters of the signals on edges whose decayed weight reaches the threshold."""
     kept = co.where(weight(F.col("total_seconds"), F.col("last_seen"), now) >= threshold)
-    return representatives(components_within(kept.select(*by, F.col("signal_a").alias("a"), F.col("signal_b").alias("b")), by), by)
+    return representatives(joined_up(kept.select(*by, F.col("signal_a").alias("a"), F.col("signal_b").alias("b")), by), by)
 
 
 def subnet_groups(pairs: DataFrame, wifi: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
     """(by..., subnet, group_id): the smallest subnet of the component, for every subnet seen; one alone is its own."""
-    labels = components_within(pairs.select(*by, F.col("subnet_a").alias("a"), F.col("subnet_b").alias("b")), by).select(*by, F.col("node").alias("subnet"), "root")
+    labels = joined_up(pairs.select(*by, F.col("subnet_a").alias("a"), F.col("subnet_b").alias("b")), by).select(*by, F.col("node").alias("subnet"), "root")
     return wifi.where("subnet <> ''").select(*by, "subnet").distinct().join(labels, [*by, "subnet"], "left").select(*by, "subnet", F.coalesce("root", "subnet").alias("group_id"))
 
 

@@ -15,7 +15,7 @@ def _bins(first: Column, last: Column, size: int) -> Column:
     return F.sequence(low, F.greatest(low, high))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, *, by: tuple[str, ...] = ("entity",), size: int = BIN, how: str = "inner", touch_right_end: bool = False) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, *, by: tuple[str, ...] = ("entity",), size: int = BIN, touch_right_end: bool = False) -> DataFrame:
     """Rows of intervals ``left`` (l_first, l_last, ...) and ``right`` (r_first, r_last, ...) that overlap.
 
     Overlap is r_first < l_last and r_last > l_first; with ``touch_right_end`` also r_first = l_last. Both sides
@@ -26,10 +26,7 @@ def overlap_join(left: DataFrame, right: DataFrame, *, by: tuple[str, ...] = ("e
     b = right.withColumn("__bin", F.explode(_bins(F.col("r_first"), F.col("r_last"), size)))
     meets = (F.col("r_first") <= F.col("l_last")) if touch_right_end else (F.col("r_first") < F.col("l_last"))
     once = F.col("__bin") == F.floor(F.greatest("l_first", "r_first") / size)
-    pairs = a.join(b, [*by, "__bin"]).where(meets & (F.col("r_last") > F.col("l_first")) & once).drop("__bin")
-    if how == "inner":
-        return pairs
-    return left.join(pairs.select(*left.columns, *[c for c in right.columns if c not in by]), left.columns, "left")
+    return a.join(b, [*by, "__bin"]).where(meets & (F.col("r_last") > F.col("l_first")) & once).drop("__bin")
 
 
 def clip(periods: DataFrame, windows: DataFrame) -> DataFrame:

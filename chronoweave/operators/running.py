@@ -45,11 +45,12 @@ def running(
     return both.select(*df.columns, "__row", *[x.alias(n) for n, x in zip(names, over(w), strict=True)]).where("__row").drop("__row")
 
 
-def with_next(df: DataFrame, name: str, *, by: tuple[str, ...] = ("entity",), time: str = "time_ms", order: tuple[str, ...] = (), size: int = DAY) -> DataFrame:
-    """df with the time of the key's next row, null of the last one; ordered as in ``running``."""
-    binned = df.withColumn("__bin", time_bin(time, size))
-    per = binned.groupBy(*by, "__bin").agg(F.min(time).alias(time))
-    carried = per.select(*by, "__bin", F.lead(time).over(Window.partitionBy(*by).orderBy("__bin")).alias(time), F.lit(True).alias("__after"))
+def with_next(df: DataFrame, name: str, *, by: tuple[str, ...] = ("entity",), time: str = "time_ms", order: tuple[str, ...] = (), value: Column | None = None, size: int = DAY) -> DataFrame:
+    """df with the time of the key's next row, or with ``value`` as it is there, null in the last one; ordered as in ``running``."""
+    value = F.col(time) if value is None else value
+    binned = df.withColumn("__bin", time_bin(time, size)).withColumn("__value", value)
+    per = binned.groupBy(*by, "__bin").agg(F.min_by("__value", F.struct(time, *order)).alias("__value"))
+    carried = per.select(*by, "__bin", F.lead("__value").over(Window.partitionBy(*by).orderBy("__bin")).alias("__value"), F.lit(True).alias("__after"))
     both = binned.withColumn("__after", F.lit(False)).unionByName(carried, allowMissingColumns=True)
     w = Window.partitionBy(*by, "__bin").orderBy("__after", time, *order)
-    return both.withColumn(name, F.lead(time).over(w)).where("not __after").drop("__bin", "__after")
+    return both.withColumn(name, F.lead("__value").over(w)).where("not __after").drop("__bin", "__after", "__value")

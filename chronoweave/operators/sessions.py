@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import BUCKET_SLACK, HOUR, MERGE_GAP, MIN_PERIOD, SOFT_CLOSE
 from ..functions.times import day_start, effective_day, next_day
 from ..tables import saved
-from .running import running
+from .running import running, with_next
 
 
 def raw_events(backlight: DataFrame, screen: DataFrame, inputs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -74,13 +74,12 @@ def bucket_events(buckets: DataFrame, keys: DataFrame) -> DataFrame:
 
     A run of hours with screen time opens in its first and closes in its last hour, unless that hour is full.
     """
-    w = Window.partitionBy("entity").orderBy("time_ms")
-    next_t, next_on = F.lead("time_ms").over(w), F.lead("screen_on_secs").over(w)
     on = F.col("screen_on_secs")
-    ends = (on < 3600) & (next_t.isNull() | (next_on == 0) | (next_t > F.col("time_ms") + HOUR + BUCKET_SLACK))
-    marked = buckets.withColumn("ends", ends)
-    runs_on = F.coalesce((F.lag("screen_on_secs").over(w) > 0) & ~F.lag("ends").over(w), F.lit(False))
-    marked = marked.withColumn("opens", (on > 0) & ~runs_on).withColumn("closes", (on > 0) & F.col("ends")).where("opens or closes")
+    hours = with_next(buckets, "next", value=F.struct("time_ms", "screen_on_secs"))
+    ends = (on < 3600) & (F.col("next").isNull() | (F.col("next.screen_on_secs") == 0) | (F.col("next.time_ms") > F.col("time_ms") + HOUR + BUCKET_SLACK))
+    marked = running(hours.withColumn("ends", ends).drop("next"), lasts={"was": F.struct("screen_on_secs", "ends")})
+    runs_on = F.coalesce((F.col("was.screen_on_secs") > 0) & ~F.col("was.ends"), F.lit(False))
+    marked = marked.withColumn("opens", (on > 0) & ~runs_on).withColumn("closes", (on > 0) & F.col("ends")).where("opens or closes").drop("was", "ends")
     # Keys of [t, t + 1 h): those of the hour that t begins, or of the two hours it lies in.
     hour = F.floor(F.col("time_ms") / HOUR)
     wide = marked.select("*", F.explode(F.array_distinct(F.array(hour, F.floor((F.col("time_ms") + HOUR - 1) / HOUR)))).alias("__h"))

@@ -232,6 +232,12 @@ def timeline(days: DataFrame, backlight: DataFrame, screen: DataFrame, inputs: D
     return fold_days(told.join(state, ["entity", "day"]))
 
 
+def days_without(main: DataFrame, days: DataFrame, lit_days: DataFrame) -> DataFrame:
+    """Days on which main has no active row and the backlight was never seen: what may need a fallback."""
+    active = main.where("label = 'active'").select("entity", "day").distinct()
+    return days.select("entity", "day").join(active, ["entity", "day"], "left_anti").join(lit_days, ["entity", "day"], "left_anti")
+
+
 def fallback(main: DataFrame, spare: DataFrame, lit_days: DataFrame) -> DataFrame:
     """Rows of ``main``; of ``spare`` on days when main has no active row, the backlight was never seen and spare has any."""
     active = main.where("label = 'active'").select("entity", "day").distinct()

@@ -319,6 +319,10 @@ def _co(spark, d):
     return location.co_occurrences(_clipped_anchors(spark, d), _office_periods(spark, d))
 
 
+def _places(spark, d):
+    return usecase.resolve_places(all_streams(spark, d), st.NOW, st.OFFICE)
+
+
 def _kept_co(spark, d):
     """Edges written once, as clusters and weights both read them: one row for each pair of signals of a device."""
     return saved(_co(spark, d), "co")
@@ -382,10 +386,7 @@ def q_dominant(spark, d):
 )
 def q_others(spark, d):
     """A11, U2, U5, J11."""
-    co = _kept_co(spark, d)
-    found = graph.clusters(co, st.NOW)
-    periods = location.all_periods(_clipped_anchors(spark, d), _office_periods(spark, d), found)
-    return location.others(periods, graph.dominant(co, found, st.NOW)).withColumn("other_ids", F.array_join("other_ids", ","))
+    return _places(spark, st.parsed(spark, d)).others.withColumn("other_ids", F.array_join("other_ids", ","))
 
 
 @query(
@@ -395,8 +396,8 @@ def q_others(spark, d):
 )
 def q_located(spark, d):
     """J8."""
-    periods = location.all_periods(_clipped_anchors(spark, d), _office_periods(spark, d), graph.clusters(_co(spark, d), st.NOW))
-    out = intervals.locate(sessions.with_breaks(_clipped(spark, d)), periods)
+    d = st.parsed(spark, d)
+    out = intervals.locate(saved(sessions.with_breaks(_clipped(spark, d)), "alternating"), saved(_places(spark, d).periods, "periods"))
     return text_day(out).select("entity", "day", "first_ms", "last_ms", "label", "location")
 
 
@@ -426,6 +427,7 @@ FROM (SELECT DISTINCT entity, {DAY_OF.format("time_ms")} AS day, {START_OF.forma
 )
 def q_state(spark, d):
     """M6, J2, X15."""
+    d = st.parsed(spark, d)
     return text_day(timeline.initial_state(timeline.days_between([st.events(spark, d)]), st.backlight(spark, d), st.screen(spark, d), st.inputs(spark, d), _focus(spark, d), _wifi(spark, d))).drop("start_ms")
 
 
@@ -434,6 +436,7 @@ def _wifi(spark, d):
 
 
 def _timeline(spark, d):
+    d = st.parsed(spark, d)
     days = timeline.days_between([st.events(spark, d)])
     return timeline.timeline(days, st.backlight(spark, d), st.screen(spark, d), st.inputs(spark, d), _focus(spark, d), _wifi(spark, d), st.NOW, st.LOCK_APP)
 
@@ -462,6 +465,7 @@ def all_streams(spark, d) -> usecase.Streams:
 
 
 def _located(spark, d):
+    d = st.parsed(spark, d)
     return usecase.intervals_for_days(all_streams(spark, d), timeline.days_between([st.events(spark, d)]), st.NOW, st.OFFICE, st.LOCK_APP)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import HOUR, MINUTE, SECOND
+from ..tables import saved
 
 #: Devices that events are dealt to.
 DEVICES = 4
@@ -16,8 +17,15 @@ LOCK_APP = "app.6"
 OFFICE = "net0"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, parsed and written once: what takes a folder here takes them, too."""
+    return saved(events(spark, sf_dir), "events")
+
+
+def events(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
     """entity, time_ms, event_type, value, k, seq; only these columns are read."""
+    if isinstance(sf_dir, DataFrame):
+        return sf_dir
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
         (F.col("user_id") % DEVICES).cast("string").alias("entity"),

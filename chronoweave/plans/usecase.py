@@ -50,7 +50,7 @@ def resolve_places(s: Streams, now: int, office: str) -> Places:
     nets = saved(location.of_office(location.subnet_periods(s.wifi, now), subnets), "office")
     at = saved(intervals.clip(location.anchor_periods(s.anchors, s.places, now), nets), "anchors")
     co = saved(location.co_occurrences(at, nets), "co")
-    found = graph.clusters(co, now)
+    found = saved(graph.clusters(co, now), "clusters")
     main = graph.dominant(co, found, now)
     periods = location.all_periods(at, nets, found)
     return Places(periods, main, location.others(periods, main))
@@ -78,10 +78,13 @@ def intervals_for_days(
     mine = lambda df: df.where(F.col("bundle_id") != lock_app)
     focus = timeline.merge_focus(mine(s.focus_periods), mine(s.focus_points))
     wifi = timeline.with_network(s.wifi, network_groups(s))
-    main = timeline.timeline(wanted, s.backlight, screen, inputs, focus, wifi, now, lock_app)
-    raw = sessions.raw_events(s.backlight, screen, inputs, sessions.bucket_events(s.screen_on, inputs))
-    spare = sessions.with_breaks(sessions.clip_to_days(sessions.merge_islands(sessions.sessions(raw, now)), inputs, now))
-    rows = timeline.fallback(main, spare.join(wanted, ["entity", "day"], "left_semi"), timeline.lit_days(s.backlight))
+    main = saved(timeline.timeline(wanted, s.backlight, screen, inputs, focus, wifi, now, lock_app), "timeline")
+    rows, lit = main, timeline.lit_days(s.backlight)
+    dark = saved(timeline.days_without(main, wanted, lit), "dark")
+    if not dark.isEmpty():
+        raw = sessions.raw_events(s.backlight, screen, inputs, sessions.bucket_events(s.screen_on, inputs))
+        spare = sessions.with_breaks(sessions.clip_to_days(sessions.merge_islands(sessions.sessions(raw, now)), inputs, now))
+        rows = saved(timeline.fallback(main, spare.join(dark, ["entity", "day"], "left_semi"), lit), "rows")
     if cached is not None and cached_days is not None:
         rows = upsert.merge_cached(rows, cached.join(days, ["entity", "day"], "left_semi"), cached_days, today_, now)
     places = resolve_places(s, now, office)

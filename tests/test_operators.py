@@ -153,7 +153,7 @@ def test_long_chain(spark):
     assert {r.root for r in graph.components(e).collect()} == {"n000"}
     r = random.Random(5)
     e = spark.createDataFrame([(r.choice("xy"), f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(50)], "entity string, a string, b string")
-    assert rows(graph.components(e), "entity", "node", "root") == rows(graph.components_within(e), "entity", "node", "root")
+    assert rows(graph.components(e), "entity", "node", "root") == rows(graph.joined_up(e), "entity", "node", "root")
 
 
 def test_pair_order(spark):
