@@ -19,3 +19,7 @@ OPEN_PERIOD_SLACK = 5 * SECOND
 COVERAGE_SLACK = 5 * MINUTE
 REFRESH_TTL = 5 * MINUTE
 ARCHIVE_LOOKBACK_DAYS = 2
+#: Labels of intervals, in the order of their codes.
+LABELS = ("active", "break", "transit")
+#: Version of tables whose places are named with their kind.
+PLACE_VERSION = 1

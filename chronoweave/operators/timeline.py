@@ -211,9 +211,8 @@ def with_network(wifi: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.select("entity", "time_ms", F.when(F.col("subnet") != "", F.coalesce("group_id", "subnet")).alias("network"), "seq")
 
 
-def timeline(days: DataFrame, backlight: DataFrame, screen: DataFrame, inputs: DataFrame, focus: DataFrame, wifi: DataFrame, now: int, lock_app: str) -> DataFrame:
-    """(entity, day, first_ms, last_ms, label) of the days asked for; a moment at exactly 06:00 counts in both days."""
-    state = initial_state(days, backlight, screen, inputs, focus.where(F.col("bundle_id") != lock_app), wifi)
+def told(days: DataFrame, backlight: DataFrame, screen: DataFrame, inputs: DataFrame, focus: DataFrame, wifi: DataFrame, now: int, lock_app: str) -> DataFrame:
+    """(entity, day, events): what happened on each of the days up to now, in order: by time, then stream; a moment at exactly 06:00 counts in both days."""
     streams = [
         backlight.select("entity", "time_ms", F.lit(BACKLIGHT).alias("src_ord"), "seq", F.when(F.col("active"), "on").otherwise("off").alias("kind")),
         screen.select("entity", "time_ms", F.lit(SCREEN).alias("src_ord"), "seq", "kind"),
@@ -228,8 +227,13 @@ def timeline(days: DataFrame, backlight: DataFrame, screen: DataFrame, inputs: D
     edge = F.col("time_ms") == day_start(day)
     dealt = events.where(F.col("time_ms") <= now).withColumn("day", F.explode(F.when(edge, F.array(day, F.date_sub(day, 1))).otherwise(F.array(day))))
     dealt = dealt.join(days.select("entity", "day"), ["entity", "day"], "left_semi")
-    told = dealt.groupBy("entity", "day").agg(F.array_sort(F.collect_list(F.struct(F.col("time_ms").alias("t"), "src_ord", "seq", "kind"))).alias("events"))
-    return fold_days(told.join(state, ["entity", "day"]))
+    return dealt.groupBy("entity", "day").agg(F.array_sort(F.collect_list(F.struct(F.col("time_ms").alias("t"), "src_ord", "seq", "kind"))).alias("events"))
+
+
+def timeline(days: DataFrame, backlight: DataFrame, screen: DataFrame, inputs: DataFrame, focus: DataFrame, wifi: DataFrame, now: int, lock_app: str) -> DataFrame:
+    """(entity, day, first_ms, last_ms, label) of the days asked for; a moment at exactly 06:00 counts in both days."""
+    state = initial_state(days, backlight, screen, inputs, focus.where(F.col("bundle_id") != lock_app), wifi)
+    return fold_days(told(days, backlight, screen, inputs, focus, wifi, now, lock_app).join(state, ["entity", "day"]))
 
 
 def days_without(main: DataFrame, days: DataFrame, lit_days: DataFrame) -> DataFrame:

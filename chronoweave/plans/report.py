@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import duration, extended_time, weekday
+from ..functions.text import pad_end, pad_start
+from ..functions.times import duration, extended_time, month_name, weekday
 from ..operators.intervals import trim_to_active
 
 SUPERSCRIPTS = "²³⁴⁵⁶⁷⁸⁹"
@@ -53,12 +54,12 @@ def with_places(report: DataFrame, dominant: DataFrame, others: DataFrame) -> Da
     return known.withColumn("places", own).withColumn("symbols", F.transform("places", lambda x: symbol(x, F.col("dominant_id"), F.col("other_ids"))))
 
 
-def legend(rows: list) -> list[str]:
-    """What the symbols of these rows mean: the dominant place if they have it, then the other places that they have."""
-    used = {place: sign for r in rows for place, sign in zip(r.places, r.symbols, strict=True)}
-    out = [f"{used[rows[0].dominant_id]}  Main office"] if rows and rows[0].dominant_id in used else []
-    others = [used[x] for x in rows[0].other_ids if x in used] if rows else []
-    return [*out, f"{' '.join(others)}  Other office"] if others else out
+def legend_lines(used: Column, dominant: Column, others: Column) -> Column:
+    """What the symbols of the places used mean, an array of lines: the dominant one first, then the others in their order."""
+    signs = F.transform(F.filter(others, lambda x: F.array_contains(used, x)), lambda x: symbol(x, dominant, others))
+    main = F.when(F.array_contains(used, dominant), F.concat(symbol(dominant, dominant, others), F.lit("  Main office")))
+    more = F.when(F.size(signs) > 0, F.concat(F.array_join(signs, " "), F.lit("  Other office")))
+    return F.array_compact(F.array(main, more))
 
 
 def printable(report: DataFrame) -> DataFrame:
@@ -76,24 +77,71 @@ def use_colour(choice: str, terminal: bool, environment: dict) -> bool:
     return choice == "always" or choice == "auto" and terminal and not environment.get("NO_COLOR")
 
 
+GAP = "   "
+
+
+def _lines(rows: DataFrame, cells: list[tuple[str, Column, object]], order: list[str]) -> DataFrame:
+    """rows with n, their place in their table, line, and head: cells padded to the widest of their column, its title included.
+
+    The rows of one entity and ``table`` are a table. Widths are bytes.
+    """
+    w = Window.partitionBy("entity", "table")
+    kept = rows.select("*", *[value.alias(f"__{k}") for k, (_, value, _) in enumerate(cells)])
+    wide = kept.select("*", *[F.greatest(F.max(F.octet_length(f"__{k}")).over(w), F.lit(len(title))).alias(f"__w{k}") for k, (title, _, _) in enumerate(cells)])
+    join = lambda values: F.concat_ws(GAP, *[pad(v, F.col(f"__w{k}")) for k, ((_, _, pad), v) in enumerate(zip(cells, values, strict=True))])
+    line = join([F.col(f"__{k}") for k in range(len(cells))])
+    head = join([F.lit(title) for title, _, _ in cells])
+    numbered = wide.select("*", line.alias("line"), head.alias("head"), F.row_number().over(w.orderBy(*order)).cast("long").alias("n"))
+    return numbered.drop(*[f"__{k}" for k in range(len(cells))], *[f"__w{k}" for k in range(len(cells))])
+
+
+def table_lines(report: DataFrame) -> DataFrame:
+    """Rows of day reports with line and head, a table for each entity and day: start, end, length, type and, where any row has one, place."""
+    rows = printable(report).withColumn("table", F.col("day").cast("string"))
+    cells = [("Start", F.col("from_text"), pad_end), ("End", F.col("to_text"), pad_start), ("Duration", F.col("length_text"), pad_start), ("Type", F.col("label"), pad_end)]
+    return _lines(rows, cells, ["first_ms", "last_ms"])
+
+
+def month_lines(report: DataFrame) -> DataFrame:
+    """Rows of month reports with line and head, a table for each entity and month: day, start, end, total, breaks."""
+    rows = printable(report).withColumn("table", F.date_format("day", "yyyyMM")).withColumn("total_text", duration(F.col("total_ms")))
+    cells = [("Day", F.concat_ws(" ", "weekday", F.col("day").cast("string")), pad_end), ("Start", F.col("from_text"), pad_end), ("End", F.col("to_text"), pad_start), ("Total", F.col("total_text"), pad_start), ("Breaks", F.size("breaks").cast("string"), pad_start)]
+    return _lines(rows, cells, ["day"])
+
+
+def _table(rows: list, title: str, total: str, signs: bool, colour: bool) -> str:
+    """Title, head, rule, lines and total of one table: a day or a month is small."""
+    sign = lambda r: ("".join(r.symbols) if signs else r.places_text) or ""
+    placed = any(sign(r) for r in rows)
+    head = rows[0].head + (f"{GAP}At" if placed else "")
+    paint = lambda text, code: f"{code}{text}\x1b[0m" if colour else text
+    lines = [paint((r.line + (GAP + sign(r) if placed else "")).rstrip(), COLOURS[r.label if "label" in r else "active"]) for r in rows]
+    legend = [x for x in (rows[0].legend if signs else [])]
+    return "\n".join([title, "", head.rstrip(), "─" * len(head), *lines, "─" * len(head), total, *legend])
+
+
+def _with_texts(rows: DataFrame) -> DataFrame:
+    """Rows with places as text, or with the legend of their table where the report has places."""
+    if "symbols" in rows.columns:
+        w = Window.partitionBy("entity", "table")
+        used = F.array_distinct(F.flatten(F.collect_list("places").over(w)))
+        return rows.withColumn("legend", legend_lines(used, F.col("dominant_id"), F.col("other_ids")))
+    if "locations" in rows.columns:
+        return rows.withColumn("places_text", F.array_join("locations", " "))
+    return rows.withColumn("places_text", F.coalesce("location", F.lit("")) if "location" in rows.columns else F.lit(""))
+
+
 def render_day(report: DataFrame, colour: bool = False) -> str:
-    """Text of one device's day: a report of one day is small. With places (``with_places``), symbols stand for ids and a legend follows."""
-    named = "symbols" in report.columns
-    rows = printable(report).withColumn("total_text", duration(F.col("total_ms"))).orderBy("first_ms").collect()
+    """The table of one device's day. With places (``with_places``), symbols stand for ids and a legend follows."""
+    rows = _with_texts(table_lines(report)).withColumn("total_text", duration(F.col("total_ms"))).orderBy("n").collect()
     if not rows:
         return "No presence."
-    lines = [f"{rows[0].weekday} {rows[0].day}"]
-    for r in rows:
-        text = f"{r.from_text}–{r.to_text}  {r.length_text}  {r.label:<8}{''.join(r.symbols) if named else getattr(r, 'location', None) or ''}".rstrip()
-        lines.append(f"{COLOURS[r.label]}{text}\x1b[0m" if colour else text)
-    return "\n".join([*lines, f"Active {rows[0].total_text}", *(legend(rows) if named else [])])
+    return _table(rows, f"{rows[0].weekday} {rows[0].day}", f"Active {rows[0].total_text}", "symbols" in report.columns, colour)
 
 
 def render_month(report: DataFrame, colour: bool = False) -> str:
-    """Text of one device's month, a line a day: at most 31 rows. Places as in ``render_day``."""
-    named = "symbols" in report.columns
-    rows, lines = printable(report).withColumn("total_text", duration(F.col("total_ms"))).orderBy("day").collect(), []
-    for r in rows:
-        text = f"{r.weekday} {r.day}  {r.from_text}–{r.to_text}  {r.total_text}  {len(r.breaks)} breaks  {''.join(r.symbols) if named else ' '.join(r.locations)}".rstrip()
-        lines.append(f"{COLOURS['active']}{text}\x1b[0m" if colour else text)
-    return "\n".join([*lines, *(legend(rows) if named else [])]) or "No presence."
+    """The table of one device's month, a line a day: at most 31 rows. Places as in ``render_day``."""
+    rows = _with_texts(month_lines(report)).withColumn("month", F.concat_ws(" ", month_name(F.col("day")), F.year("day").cast("string"))).withColumn("all_text", duration(F.sum("total_ms").over(Window.partitionBy("entity", "table")))).orderBy("n").collect()
+    if not rows:
+        return "No presence."
+    return _table(rows, rows[0].month, f"Active {rows[0].all_text}", "symbols" in report.columns, colour)

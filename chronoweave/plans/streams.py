@@ -52,7 +52,7 @@ def focus_points(spark, sf_dir):
 
 def focus_periods(spark, sf_dir):
     v = _of(spark, sf_dir, "view").where(F.col("k") % 5 == 0)
-    return v.select("entity", F.col("time_ms").alias("first_ms"), (F.col("time_ms") + F.floor(F.col("value") * 10 * SECOND).cast("long")).alias("last_ms"), F.concat(F.lit("app."), (F.col("k") % 7).cast("string")).alias("bundle_id"), "seq")
+    return v.select("entity", F.col("time_ms").alias("first_ms"), (F.col("time_ms") + F.floor(F.col("value") * (10 * SECOND)).cast("long")).alias("last_ms"), F.concat(F.lit("app."), (F.col("k") % 7).cast("string")).alias("bundle_id"), "seq")
 
 
 def backlight(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import subnet
+from .paths import existing
 
 #: Classes of compact lines and what marks them: fixed values.
 CLASSES = {
@@ -73,6 +74,9 @@ def wifi_events(lines: DataFrame) -> DataFrame:
 
 def read_wifi_logs(spark: SparkSession, paths: list[str], year: int | None = None) -> DataFrame:
     """Events of wifi logs, plain or .bz2. Without ``year``, that of a file's modification (UTC) holds."""
+    paths = existing(spark, paths)
+    if not paths:
+        return spark.createDataFrame([], "file string, time_ms long, ip string, subnet string")
     raw = spark.read.option("wholetext", True).text(paths)
     of_file = F.lit(year) if year else F.year(F.col("_metadata.file_modification_time"))
     lines = raw.select(F.col("_metadata.file_path").alias("file"), of_file.alias("year"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
@@ -81,5 +85,8 @@ def read_wifi_logs(spark: SparkSession, paths: list[str], year: int | None = Non
 
 def read_compact(spark: SparkSession, paths: list[str], line_class: str | None = None) -> DataFrame:
     """(time_ms, kind) of captured compact logs; the class of each line is told by its mark unless given."""
+    paths = existing(spark, paths)
+    if not paths:
+        return spark.createDataFrame([], "time_ms long, kind string")
     lines = spark.read.text(paths)
     return parse_compact(lines.select("value", F.lit(line_class).alias("line_class") if line_class else class_of(F.col("value")).alias("line_class"))).select("time_ms", "kind")

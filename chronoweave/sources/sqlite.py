@@ -4,7 +4,7 @@
     spark.read.format("sqlite").schema(...).option("query", "SELECT ...").load(path)
 
 Paths are those of the executors' shared store. Archives (.gz) are unpacked in memory by the task that reads
-them, one task a file. Absent optional files give no rows.
+them, one task a file. Absent optional files give no rows; a folder that may not be read is an error.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ ARCHIVE = re.compile(r"powerlog_(.+)\.PLSQL\.gz$")
 
 
 class SqliteSource(DataSource):
-    """Options: path (a file or pattern), query, and optional=true to take an absent path for an empty one."""
+    """Options: path (files or patterns, one a line), query, and optional=true to take an absent path for an empty one."""
 
     @classmethod
     def name(cls) -> str:
@@ -43,13 +43,28 @@ class File(InputPartition):
         self.path = path
 
 
+def files(path: str) -> list[str]:
+    """Files of a path or pattern; none where there is none, PermissionError where the folder may not be read."""
+    found = sorted(glob.glob(path)) or ([path] if os.path.exists(path) else [])
+    if not found:
+        folder = os.path.dirname(path) or "."
+        while folder and glob.has_magic(folder):
+            folder = os.path.dirname(folder)
+        try:
+            with os.scandir(folder or "."):
+                pass
+        except (FileNotFoundError, NotADirectoryError):
+            pass
+    return found
+
+
 class SqliteReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.query = options.get("path", ""), options["query"]
         self.optional, self.width = options.get("optional", "false").lower() == "true", len(schema.fields)
 
     def partitions(self) -> list[File]:
-        found = sorted(glob.glob(self.path)) or ([self.path] if os.path.exists(self.path) else [])
+        found = [p for path in self.path.split("\n") if path for p in files(path)]
         if not found and not self.optional:
             raise FileNotFoundError(self.path)
         return [File(p) for p in found]
@@ -69,18 +84,19 @@ class SqliteReader(DataSourceReader):
             db.close()
 
 
-def _read(spark: SparkSession, path: str, schema: str, query: str, optional: bool = True) -> DataFrame:
+def _read(spark: SparkSession, path: str | list[str], schema: str, query: str, optional: bool = True) -> DataFrame:
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").schema(schema).option("query", query).option("optional", str(optional).lower()).load(path)
+    paths = path if isinstance(path, str) else "\n".join(path)
+    return spark.read.format("sqlite").schema(schema).option("query", query).option("optional", str(optional).lower()).load(paths)
 
 
-def read_backlight(spark: SparkSession, path: str) -> DataFrame:
+def read_backlight(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(time_ms, active); seconds are cut to milliseconds, a moment's first row counts."""
     rows = _read(spark, path, "n long, ts double, active int", "SELECT rowid, timestamp, Active FROM PLDisplayAgent_EventPoint_Display WHERE Block = 'Backlight' AND timestamp IS NOT NULL")
     return rows.groupBy((F.col("ts") * 1000).cast("long").alias("time_ms")).agg(F.min_by(F.col("active") == 1, "n").alias("active"))
 
 
-def read_frontmost(spark: SparkSession, path: str) -> DataFrame:
+def read_frontmost(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(time_ms, bundle_id), '' where there is none."""
     rows = _read(spark, path, "n long, ts double, bundle_id string", "SELECT rowid, timestamp, BundleID FROM PLApplicationAgent_EventForward_FrontmostApp WHERE timestamp IS NOT NULL")
     return rows.groupBy((F.col("ts") * 1000).cast("long").alias("time_ms")).agg(F.min_by(F.coalesce("bundle_id", F.lit("")), "n").alias("bundle_id"))
