@@ -129,3 +129,18 @@ def archives(folder: str, needed_day: str, imported: set[str] = frozenset()) ->
         if m and m[1][:10] >= cutoff and m[1] not in imported:
             found.append(os.path.join(folder, name))
     return found
+
+
+def read_anchors(spark: SparkSession, path: str) -> DataFrame:
+    """(anchor_s, place, seq) of visits to places."""
+    return _read(spark, path, "anchor_s double, place string, seq long", "SELECT anchorDate, anchorLocation, rowid FROM anchorOccurrence WHERE anchorDate IS NOT NULL")
+
+
+#: Fixed value: the type of the place that is home.
+HOME_TYPE = "ANCHOR_LOCATION_TYPE_HOME"
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """(place, type), the type "home" or as the file has it."""
+    rows = _read(spark, path, "place string, type string", "SELECT uuid, type FROM locations")
+    return rows.withColumn("type", F.when(F.col("type") == HOME_TYPE, "home").otherwise(F.coalesce("type", F.lit(""))))
