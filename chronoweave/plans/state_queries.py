@@ -14,7 +14,7 @@ from ..functions import text, times
 from ..operators import intervals, timeline, upsert
 from ..tables import shared_folder
 from . import queries as q
-from . import report
+from . import report, usecase
 from . import streams as st
 from .queries import DAY_OF, START_OF, query, text_day
 
@@ -113,6 +113,19 @@ FROM (SELECT entity, day, min(first_ms) FILTER (label = 'active') AS first_ms, m
 )(q.q_full_month)
 
 
+#: Weight from which signals are one place, so high that places stay apart.
+APART = 250_000
+PLACES = ["creach", "clustered", "rep_edges", "rep_sums", "dominant", "all_periods"]
+_known = "\n".join(x if x.endswith(",") else f"{x}," for x in q.CTES)
+_places = ",\n".join(_known[_known.index(f"{a} AS (" if a != "creach" else "creach(entity") : _known.index(b)].strip().rstrip(",") for a, b in (("creach", "rep_edges AS"), ("rep_edges", "all_periods AS"), ("all_periods", "bucket_ends AS")))
+
+
+@query("other_places_apart", "SELECT p.entity, string_agg(DISTINCT place, ',' ORDER BY place) AS other_ids FROM a_all_periods p LEFT JOIN a_dominant d ON d.entity = p.entity WHERE starts_with(place, 'duet:') AND place IS DISTINCT FROM dominant_id GROUP BY p.entity", renamed(_places, "a_", PLACES).replace("w >= 3600", f"w >= {APART}"))
+def q_apart(spark, d):
+    """Places that aren't one with the dominant place."""
+    return usecase.resolve_places(q.all_streams(spark, st.parsed(spark, d)), st.NOW, st.OFFICE, APART).others.withColumn("other_ids", F.array_join("other_ids", ","))
+
+
 @query("rows_of_days", "SELECT entity, CAST(day AS VARCHAR) AS day, first_ms, last_ms, label FROM alternating WHERE (entity, day) IN (SELECT (CAST(e AS VARCHAR), DATE '2024-01-01' + CAST(n AS INT)) FROM range(4) a(e), range(0, 31, 3) b(n))")
 def q_of_days(spark, d):
     """rows of the days listed."""

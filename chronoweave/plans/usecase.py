@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import CLUSTER_THRESHOLD
 from ..functions.times import day_start, next_day
 from ..operators import graph, intervals, location, sessions, timeline, upsert
 from ..tables import saved
@@ -44,13 +45,13 @@ def network_groups(s: Streams) -> DataFrame:
     return graph.subnet_groups(pairs, s.wifi)
 
 
-def resolve_places(s: Streams, now: int, office: str) -> Places:
+def resolve_places(s: Streams, now: int, office: str, threshold: float = CLUSTER_THRESHOLD) -> Places:
     """Places of the periods spent in the office's subnets."""
     subnets = location.office_subnets(intervals.in_session(s.wifi, s.ssid_sessions), office)
     nets = saved(location.of_office(location.subnet_periods(s.wifi, now), subnets), "office")
     at = saved(intervals.clip(location.anchor_periods(s.anchors, s.places, now), nets), "anchors")
     co = saved(location.co_occurrences(at, nets), "co")
-    found = saved(graph.clusters(co, now), "clusters")
+    found = saved(graph.clusters(co, now, threshold), "clusters")
     main = graph.dominant(co, found, now)
     periods = location.all_periods(at, nets, found)
     return Places(periods, main, location.others(periods, main))

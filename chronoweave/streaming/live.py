@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..constants import DAY_START_HOUR
 from ..operators.asof import keep_first
 from ..operators.timeline import FOCUS, INPUT, SCHEMA, SCREEN, WIFI, Day
+from ..sources.paths import existing
 
 
 def input_sessions(inputs: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -36,12 +37,8 @@ def keep_first_rows(path: str, keys: list[str], order: list[str]) -> Callable[[D
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path).where(F.col("batch") < number).select(*batch.columns)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = batch.limit(0)
+        known = existing(spark, [f"{path}/batch=*"])
+        old = spark.read.schema(f"{batch.schema.toDDL()}, batch int").parquet(path).where(F.col("batch") < number).select(*batch.columns) if known else batch.limit(0)
         fresh = keep_first(batch, keys, order).join(old.select(*keys), keys, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
