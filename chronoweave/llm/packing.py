@@ -24,6 +24,8 @@ WINDOW = 4096
 K1, B = 1.2, 0.75
 #: A shard ends with the document that reaches either bound.
 SHARD_TOKENS, SHARD_DOCS = 1 << 21, 1 << 14
+#: Terms in one of so many documents of a shard have a row of impacts instead of postings.
+DENSE = 16
 #: Sequence ids of whole windows of long documents start here.
 WHOLE = 1 << 62
 
@@ -82,18 +84,25 @@ class Index:
         self.size = np.array([len(x) for x in texts])
         norm = K1 * (1 - B + B * self.size / mean)
         order = np.argsort(term, kind="stable")
-        term, tf, self.doc = term[order], tf[order], doc[order]
-        self.impact = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        self.terms, self.begin = np.unique(term, return_index=True)
-        self.begin = np.append(self.begin, len(term))
+        term, tf, doc = term[order], tf[order], doc[order]
+        impact = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        self.terms, begin, n = np.unique(term, return_index=True, return_counts=True)
+        # Postings of common terms as rows, those of the others as lists.
+        common = n * DENSE >= len(texts)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), len(texts)), np.float32)
+        at = np.repeat(common, n)
+        self.rows[np.repeat(self.row, n)[at], doc[at]] = impact[at]
+        self.doc, self.impact = doc[~at], impact[~at]
+        self.begin = np.concatenate([[0], np.cumsum(np.where(common, 0, n))])
         self.unused = np.ones(len(texts), bool)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents for all distinct terms of the seed, each of weight one."""
         k = np.searchsorted(self.terms, self.queries[seed])
-        n = self.begin[k + 1] - self.begin[k]
+        row, n = self.row[k], self.begin[k + 1] - self.begin[k]
         at = np.repeat(self.begin[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.doc[at], self.impact[at], len(self.unused))
+        return np.bincount(self.doc[at], self.impact[at], len(self.unused)) + self.rows[row[row >= 0]].sum(axis=0)
 
     def neighbours(self, seed: int, room: int) -> list[int]:
         """Unused documents by falling score, ties by place, as many as fill ``room`` ids, or all that share a term with the seed."""
