@@ -52,10 +52,10 @@ def main(args: list[str]) -> int:
     mine = intervals.smooth(rows.where(F.col("entity") == own))
     if kind == "day":
         found = report.day_report(mine.where(F.col("day") == when))
-        print(report.render_day(report.with_places(found, places.dominant, places.others), colour))
+        print(report.day_table(report.with_places(found, places.dominant, places.others), colour))
     else:
         found = report.month_report(mine.where(F.date_format("day", "yyyyMM") == when), places.dominant, F.current_date())
-        print(report.render_month(report.with_places(found, places.dominant, places.others), colour))
+        print(report.month_table(report.with_places(found, places.dominant, places.others), colour))
     return 0
 
 

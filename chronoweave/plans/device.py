@@ -63,14 +63,14 @@ class Store:
     def insert(self, name: str, rows: DataFrame, order: list[str | Column] = ()) -> None:
         """Add rows whose key the table has not, the first in ``order`` of each."""
         keys = KEYS.get(name, ["time_ms"])
-        known = self.table(name, self.run).select(*keys)
-        fresh = upsert.insert_new(None, rows.join(known, keys, "left_anti"), keys, list(order) or [F.lit(0)])
-        fresh.write.mode("overwrite").parquet(f"{self.path}/{name}/run={self.run}")
+        if existing(self.spark, [f"{self.path}/{name}/run=*"]):
+            rows = rows.join(self.table(name, self.run).select(*keys), keys, "left_anti")
+        upsert.insert_new(None, rows, keys, list(order) or [F.lit(0)]).write.mode("overwrite").parquet(f"{self.path}/{name}/run={self.run}")
 
-    def mark(self, source: str) -> tuple[int | None, int | None]:
-        """The greatest moment read of a source, and when it was imported last."""
-        found = self.table("marks", self.run).where(F.col("source") == source).agg(F.max("mark_ms"), F.max("imported_ms")).first()
-        return found[0], found[1]
+    def marks(self) -> dict[str, tuple[int, int]]:
+        """The greatest moment read of each source, and when it was imported last."""
+        found = self.table("marks", self.run).groupBy("source").agg(F.max("mark_ms").alias("mark"), F.max("imported_ms").alias("imported")).collect()
+        return {r.source: (r.mark, r.imported) for r in found}
 
 
 def import_files(store: Store, files: str, now: int, needed_day: str) -> None:
@@ -79,10 +79,10 @@ def import_files(store: Store, files: str, now: int, needed_day: str) -> None:
     Live files are read when their last import is over the refresh time old; archives once; streams of containers and
     usage beyond the greatest moment read so far; text logs whole, of which only new moments are added.
     """
-    spark, power, marks = store.spark, f"{files}/power", []
+    spark, power, known, marks = store.spark, f"{files}/power", store.marks(), []
 
     def import_stream(source: str, read, time: str, order: list[str | Column] = ()) -> None:
-        mark, imported = store.mark(source)
+        mark, imported = known.get(source, (None, None))
         if upsert.stale(imported, now):
             rows = saved(read(mark), source)
             store.insert(source, rows, order)
@@ -99,8 +99,9 @@ def import_files(store: Store, files: str, now: int, needed_day: str) -> None:
     import_stream("sessions", lambda mark: binary.read_wifi_sessions(spark, f"{files}/sessions"), "first_ms")
     import_stream("wifi", lambda mark: logs.read_wifi_logs(spark, [f"{files}/wifi"]), "time_ms", ["file"])
     import_stream("events", lambda mark: logs.read_compact(spark, [f"{files}/log"]), "time_ms")
-    names = [sqlite.ARCHIVE.match(os.path.basename(x))[1] for x in archives] if any(m[0] == "backlight" for m in marks) else []
-    store.insert("archives", spark.createDataFrame([(x,) for x in names], SCHEMAS["archives"]))
+    if archives and any(m[0] == "backlight" for m in marks):
+        names = [sqlite.ARCHIVE.match(os.path.basename(x))[1] for x in archives]
+        store.insert("archives", spark.createDataFrame([(x,) for x in names], SCHEMAS["archives"]))
     spark.createDataFrame(marks, SCHEMAS["marks"]).write.mode("overwrite").parquet(f"{store.path}/marks/run={store.run}")
 
 
@@ -157,10 +158,10 @@ def next_run(spark: SparkSession, path: str) -> int:
 def text(spark: SparkSession, files: str, store: str, device: str, kind: str, when: str, now: int, office: str, today: str, colour: bool = False) -> str:
     """The table of a ("day", "YYYY-MM-DD") or ("month", "YYYYMM")."""
     at = Store(spark, store, next_run(spark, store))
-    days = [when] if kind == "day" else [r.d for r in spark.sql(f"SELECT string(explode(sequence(to_date('{when}01', 'yyyyMMdd'), last_day(to_date('{when}01', 'yyyyMMdd'))))) AS d").collect()]
+    days = [when] if kind == "day" else [r.d for r in spark.sql(f"SELECT explode(transform(sequence(to_date('{when}01', 'yyyyMMdd'), last_day(to_date('{when}01', 'yyyyMMdd'))), x -> string(x))) AS d").collect()]
     days = [x for x in days if x <= today] or days[:1]
     rows, places = intervals_of(at, files, device, days, now, office, today)
     mine = intervals.smooth(rows)
     if kind == "day":
-        return report.render_day(report.with_places(report.day_report(mine), places.dominant, places.others), colour)
-    return report.render_month(report.with_places(report.month_report(mine, places.dominant, F.lit(today).cast("date")), places.dominant, places.others), colour)
+        return report.day_table(report.with_places(report.day_report(mine), places.dominant, places.others), colour)
+    return report.month_table(report.with_places(report.month_report(mine, places.dominant, F.lit(today).cast("date")), places.dominant, places.others), colour)
