@@ -37,18 +37,22 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-#: Tables written within each scratch() that is open.
+#: Tables written within each scratch() that is open, and those of them that outlive it.
 _written: list[list[str]] = []
+_kept: list[list[str]] = []
 
 
 @contextmanager
 def scratch(spark: SparkSession, keep_all: bool = False):
-    """Tables that save() writes within are deleted at the end, but for those that were to be kept."""
+    """Tables that save() writes within are deleted at the end; those that were to be kept are left to the scope around."""
     _written.append([])
+    _kept.append([])
     try:
         yield
     finally:
-        paths = _written.pop()
+        paths, kept = _written.pop(), _kept.pop()
+        if _written:
+            _written[-1] += kept
         if not keep_all:
             drop(spark, *paths)
 
@@ -57,8 +61,8 @@ def save(df: DataFrame, tag: str, partition_by: str | None = None, codec: str =
     """Write df as a table in the shared folder; returns what reads it, and its path. This cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if _written and not keep:
-        _written[-1].append(path)
+    if _written:
+        (_kept if keep else _written)[-1].append(path)
     writer = df.write.option("compression", codec)
     with shuffles_freed(spark):
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
