@@ -29,13 +29,16 @@ def overlap_join(left: DataFrame, right: DataFrame, *, by: tuple[str, ...] = ("e
     return a.join(b, [*by, "__bin"]).where(meets & (F.col("r_last") > F.col("l_first")) & once).drop("__bin")
 
 
-def clip(periods: DataFrame, windows: DataFrame) -> DataFrame:
-    """The parts of ``periods`` that lie in ``windows``: (entity, first_ms, last_ms, and the other columns of periods)."""
+def clip(periods: DataFrame, windows: DataFrame, moments: bool = False) -> DataFrame:
+    """The parts of ``periods`` that lie in ``windows``: (entity, first_ms, last_ms, and the other columns of periods).
+
+    With ``moments``, periods without length that lie within a window count, too.
+    """
     rest = [c for c in periods.columns if c not in ("entity", "first_ms", "last_ms")]
     left = periods.withColumnsRenamed({"first_ms": "l_first", "last_ms": "l_last"})
     right = windows.select("entity", F.col("first_ms").alias("r_first"), F.col("last_ms").alias("r_last"))
     cut = overlap_join(left, right).select("entity", F.greatest("l_first", "r_first").alias("first_ms"), F.least("l_last", "r_last").alias("last_ms"), *rest)
-    return cut.where("last_ms > first_ms")
+    return cut if moments else cut.where("last_ms > first_ms")
 
 
 def in_session(points: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -36,9 +36,10 @@ def of_office(periods: DataFrame, office: DataFrame) -> DataFrame:
 def co_occurrences(anchors: DataFrame, subnets: DataFrame, since: int = 0, shortest_s: float = 0.0) -> DataFrame:
     """(entity, signal_a, signal_b, total_seconds, last_seen): the seconds that a place and a network were both on.
 
-    Of anchors, only what lies after ``since`` counts: that is the mark up to which an earlier run has summed.
+    Of anchors, only what lies after ``since`` counts: that is the mark up to which an earlier run has summed. Anchors
+    without length add no seconds, but are seen.
     """
-    left = anchors.select("entity", F.greatest("first_ms", F.lit(since)).alias("l_first"), F.col("last_ms").alias("l_last"), F.col("signal").alias("l_signal")).where("l_last > l_first")
+    left = anchors.select("entity", F.greatest("first_ms", F.lit(since)).alias("l_first"), F.col("last_ms").alias("l_last"), F.col("signal").alias("l_signal")).where((F.col("l_last") >= F.col("l_first")) & (F.col("l_last") > since))
     right = subnets.select("entity", F.col("first_ms").alias("r_first"), F.col("last_ms").alias("r_last"), F.col("signal").alias("r_signal"))
     met = overlap_join(left, right)
     end = F.least("l_last", "r_last")

@@ -123,7 +123,7 @@ _places = ",\n".join(_known[_known.index(f"{a} AS (" if a != "creach" else "crea
 @query("other_places_apart", "SELECT p.entity, string_agg(DISTINCT place, ',' ORDER BY place) AS other_ids FROM a_all_periods p LEFT JOIN a_dominant d ON d.entity = p.entity WHERE starts_with(place, 'duet:') AND place IS DISTINCT FROM dominant_id GROUP BY p.entity", renamed(_places, "a_", PLACES).replace("w >= 3600", f"w >= {APART}"))
 def q_apart(spark, d):
     """Places that aren't one with the dominant place."""
-    return usecase.resolve_places(q.all_streams(spark, st.parsed(spark, d)), st.NOW, st.OFFICE, APART).others.withColumn("other_ids", F.array_join("other_ids", ","))
+    return usecase.resolve_places(q.all_streams(spark, st.parsed(spark, d)), st.NOW, st.OFFICE, APART, moments=True).others.withColumn("other_ids", F.array_join("other_ids", ","))
 
 
 @query("rows_of_days", "SELECT entity, CAST(day AS VARCHAR) AS day, first_ms, last_ms, label FROM alternating WHERE (entity, day) IN (SELECT (CAST(e AS VARCHAR), DATE '2024-01-01' + CAST(n AS INT)) FROM range(4) a(e), range(0, 31, 3) b(n))")

@@ -45,11 +45,11 @@ def network_groups(s: Streams) -> DataFrame:
     return graph.subnet_groups(pairs, s.wifi)
 
 
-def resolve_places(s: Streams, now: int, office: str, threshold: float = CLUSTER_THRESHOLD) -> Places:
-    """Places of the periods spent in the office's subnets."""
+def resolve_places(s: Streams, now: int, office: str, threshold: float = CLUSTER_THRESHOLD, moments: bool = False) -> Places:
+    """Places of the periods spent in the office's subnets; with ``moments``, anchors without length count, too."""
     subnets = location.office_subnets(intervals.in_session(s.wifi, s.ssid_sessions), office)
     nets = saved(location.of_office(location.subnet_periods(s.wifi, now), subnets), "office")
-    at = saved(intervals.clip(location.anchor_periods(s.anchors, s.places, now), nets), "anchors")
+    at = saved(intervals.clip(location.anchor_periods(s.anchors, s.places, now), nets, moments), "anchors")
     co = saved(location.co_occurrences(at, nets), "co")
     found = saved(graph.clusters(co, now, threshold), "clusters")
     main = graph.dominant(co, found, now)
@@ -58,13 +58,13 @@ def resolve_places(s: Streams, now: int, office: str, threshold: float = CLUSTER
 
 
 def intervals_for_days(
-    s: Streams, days: DataFrame, now: int, office: str, lock_app: str, today: str | None = None, cached: DataFrame | None = None, cached_days: DataFrame | None = None, blocks: DataFrame | None = None, strict_lookback: bool = False
+    s: Streams, days: DataFrame, now: int, office: str, lock_app: str, today: str | None = None, cached: DataFrame | None = None, cached_days: DataFrame | None = None, blocks: DataFrame | None = None, strict_lookback: bool = False, moments: bool = False
 ) -> tuple[DataFrame, Places]:
     """(entity, day, first_ms, last_ms, label, location) of (entity, day) rows, and the places.
 
     Days whose cached rows are final and reusable aren't computed. ``blocks`` are located periods that go before
     those resolved here. With ``strict_lookback``, locks and inputs before the first day's start and after the
-    last day's end are as if not known.
+    last day's end are as if not known. ``moments`` is that of ``resolve_places``.
     """
     today_ = F.lit(today).cast("date") if today else F.to_date(F.timestamp_millis(F.lit(now)))
     wanted = days
@@ -88,6 +88,6 @@ def intervals_for_days(
         rows = saved(timeline.fallback(main, spare.join(dark, ["entity", "day"], "left_semi"), lit), "rows")
     if cached is not None and cached_days is not None:
         rows = upsert.merge_cached(rows, cached.join(days, ["entity", "day"], "left_semi"), cached_days, today_, now)
-    places = resolve_places(s, now, office)
+    places = resolve_places(s, now, office, moments=moments)
     located = intervals.locate(rows, blocks, places.periods) if blocks is not None else intervals.locate(rows, places.periods)
     return located, places
