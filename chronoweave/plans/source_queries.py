@@ -45,7 +45,7 @@ def wifi_lines(spark, d):
     moment = F.concat(F.date_format(at, "E MMM "), F.lpad(F.dayofmonth(at).cast("string"), 2, " "), F.date_format(at, " HH:mm:ss.SSS"))
     ip = F.when(F.col("ip") == "", "0.0.0.0").otherwise(F.col("ip"))
     lines = F.array(F.concat(moment, F.lit("  IP Address: "), ip, F.lit(" up")), F.lit("  Router IP Address: 9.9.9.9"), F.lit("  IP subnet mask: 255.255.255.0"))
-    return e.select(F.col("entity").alias("file"), F.lit(2024).alias("year"), F.floor(F.col("time_ms") / 1000).alias("second"), "seq", F.posexplode(lines).alias("i", "value")).select("file", "year", F.struct("second", "seq", "i").alias("pos"), "value")
+    return e.select(F.col("entity").alias("file"), F.year(at).alias("year"), F.floor(F.col("time_ms") / 1000).alias("second"), "seq", F.posexplode(lines).alias("i", "value")).select("file", "year", F.struct("second", "seq", "i").alias("pos"), "value")
 
 
 def q_wifi_log(spark, d):
